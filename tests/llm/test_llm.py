@@ -401,13 +401,13 @@ def removed(texts, n):
     return out
 
 
-@pytest.mark.parametrize("contexts", [8192, 3])
-def test_repeats(spark, docs, plain, contexts):
+@pytest.mark.parametrize("contexts, hot", [(8192, 10_000), (3, 10_000), (8192, 4)])
+def test_repeats(spark, docs, plain, contexts, hot):
     rows = plain + [(9300, plain[7][1][:500] + "é middle " * 40 + plain[8][1][-300:]), (9301, "q" * 201), (9302, "z" * 199), (9303, plain[8][1][-300:])]
     random.seed(3)
     rows += [(9400 + i, "".join(random.choices("abcdef", k=90)) + "The same passage, of about one hundred and fifty bytes, stands in many texts between words that differ, so that most is kept. " + "shared" * 6 + "".join(random.choices("abcdef", k=90))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(df, contexts=contexts).collect()}
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(df, contexts=contexts, hot=hot).collect()}
     raw = [(t or "").encode() for _, t in rows]
     want = set()
     for (i, _), t, m in zip(rows, raw, removed(raw, 200)):

@@ -28,6 +28,8 @@ from .common import add_columns, materialize
 LENGTH, GRAM = 200, 64
 #: Bytes hashed at once, and contexts sorted at once.
 SLICE, CONTEXTS = 1 << 20, 8192
+#: An anchor with more runs than this is not gathered in one task.
+HOT = 10_000
 _POS = 28
 _MASK = np.uint64((1 << _POS) - 1)
 
@@ -160,16 +162,18 @@ def _cut_contexts(length: int):
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for uid, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for f in found:
                     pos = f["pos"]
                     lo, p, n = pos >> 16, pos >> 8 & 255, pos & 255
-                    lead = int.from_bytes(raw[lo + p : lo + p + 8], "big") - (1 << 63)
-                    for column, v in zip(cols, (lead, f["g"], uid, pos, raw[lo : lo + n + length])):
+                    # contexts of hot anchors are not sorted here, and lie anywhere
+                    lead = uid ^ pos if f["hot"] else int.from_bytes(raw[lo + p : lo + p + 8], "big") - (1 << 63)
+                    for column, v in zip(cols, (lead, f["g"], uid, pos, raw[lo : lo + n + length], f["hot"])):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["lead", "g", "uid", "pos", "bytes"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["lead", "g", "uid", "pos", "bytes", "hot"])
 
     return run
 
@@ -222,8 +226,8 @@ def _sort_contexts(length: int, limit: int):
         held, group, big = [], [], None  # complete groups; the one at hand; the anchor of a large one
         for batch in batches:
             out, spans = [], []
-            for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
-                if row[0] == big:
+            for *row, hot in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4, 5))):
+                if hot or row[0] == big:
                     out.append(row)
                     continue
                 if group and group[0][0] != row[0]:
@@ -259,13 +263,17 @@ def _windows(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, uid: str, text: str, length: int = LENGTH, gram: int = GRAM, contexts: int = CONTEXTS) -> DataFrame:
+def repeated_spans(docs: DataFrame, uid: str, text: str, length: int = LENGTH, gram: int = GRAM, contexts: int = CONTEXTS, hot: int = HOT) -> DataFrame:
     """(uid, lo, hi): byte spans that together cover all strings of ``length`` bytes that start twice or more."""
     from pyspark.sql import Window
 
     assert gram < length <= gram + 254
     rows = docs.select(uid, text).where(F.octet_length(text) >= length)
-    found = rows.mapInArrow(_find_runs(length, gram), "uid long, g long, c long, pos long")
+    everything = rows.mapInArrow(_find_runs(length, gram), "uid long, g long, c long, pos long")
+    crowded = materialize(everything.groupBy("g").count().where(F.col("count") > hot).select("g"), "crowded")
+    some = crowded.count()
+    side = F.broadcast(crowded) if some <= 1_000_000 else crowded  # 8 bytes a row
+    found = everything.join(side, "g", "left_anti") if some else everything
     w = Window.partitionBy("g").orderBy("c")
     before, after = F.lag("c").over(w), F.lead("c").over(w)
     lowest = F.first("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -276,12 +284,20 @@ def repeated_spans(docs: DataFrame, uid: str, text: str, length: int = LENGTH, g
         # one run of each context, where the anchor has several: of the lowest context the last one
         F.coalesce(F.when(F.col("c") == F.col("f"), F.col("n") != F.col("c")).otherwise(F.col("p") != F.col("c")), F.lit(False)).alias("open"),
     )
-    marked = materialize(marked.where("whole OR open"), "runs")
+    marked = marked.where("whole OR open").withColumn("hot", F.lit(False))
+    if some:
+        # of a crowded anchor, equal contexts are counted before any shuffle, and a join that can be split marks them
+        many = everything.join(side, "g", "left_semi")
+        each = materialize(many.groupBy("g", "c").agg(F.count("*").alias("n"), F.first("uid").alias("uid"), F.first("pos").alias("pos")), "contexts")
+        met = many.join(each.where("n > 1").select("g", "c"), ["g", "c"]).select("uid", "g", "pos", F.lit(True).alias("whole"), F.lit(False).alias("open"), F.lit(True).alias("hot"))
+        own = each.select("uid", "g", "pos", F.lit(False).alias("whole"), F.lit(True).alias("open"), F.lit(True).alias("hot"))
+        marked = marked.unionByName(met).unionByName(own)
+    marked = materialize(marked, "runs")
     span = lambda df: df.select("uid", "lo", "hi")
     lo = F.shiftright("pos", 16)
     whole = marked.where("whole").select("uid", lo.alias("lo"), (lo + F.col("pos").bitwiseAND(255) + length).alias("hi"))
-    wanted = marked.where("open").groupBy("uid").agg(F.collect_list(F.struct("g", "pos")).alias("found"))  # of one text
-    cut = rows.withColumnRenamed(uid, "uid").join(wanted, "uid").select("uid", text, "found").mapInArrow(_cut_contexts(length), "lead long, g long, uid long, pos long, bytes binary")
+    wanted = marked.where("open").groupBy("uid").agg(F.collect_list(F.struct("g", "pos", "hot")).alias("found"))  # of one text
+    cut = rows.withColumnRenamed(uid, "uid").join(wanted, "uid").select("uid", text, "found").mapInArrow(_cut_contexts(length), "lead long, g long, uid long, pos long, bytes binary, hot boolean")
     dealt = cut.repartitionByRange("lead", "g").sortWithinPartitions("lead", "g")
     looked = materialize(dealt.mapInArrow(_sort_contexts(length, contexts), _FOUND), "suffixes")
     many = looked.where("lo IS NULL").select("uid", "pos", "bytes").mapInArrow(_windows(length), "a long, b long, uid long, lo long")
@@ -290,7 +306,7 @@ def repeated_spans(docs: DataFrame, uid: str, text: str, length: int = LENGTH, g
     return whole.unionByName(span(looked.where("lo IS NOT NULL"))).unionByName(often)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", contexts: int = CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", contexts: int = CONTEXTS, hot: int = HOT) -> DataFrame:
     """Of each document: id, n_bytes, n_removed, n_spans, kept (the remaining bytes), removed (spans), kept_sha256.
 
     A byte goes if it lies in a string of ``length`` bytes that also starts anywhere else, in the same
@@ -298,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     ``length`` stay; rows with equal id and text are documents of their own, and so remove each other.
     """
     d = docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("uid"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-    spans = repeated_spans(d, "uid", "__text", length, gram, contexts)
+    spans = repeated_spans(d, "uid", "__text", length, gram, contexts, hot)
     # spans of one text, of which there are fewer than bytes
     by = spans.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     joined = d.join(by, "uid", "left")
