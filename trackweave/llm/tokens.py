@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pieces that a worker keeps; beyond, those of the last batch stay.
-MEMO = 1_300_000
+MEMO = 700_000
 
 # White space other than space and line feed (fixed values).
 _ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x01"
@@ -135,7 +135,7 @@ def encoder(path: str) -> Encoder:
     return held[path]
 
 
-def in_slices(texts: list[str], limit: int = 1 << 25):
+def in_slices(texts: list[str], limit: int = 1 << 23):
     """(first, last) index pairs of slices of about ``limit`` characters."""
     at = size = 0
     for i, t in enumerate(texts):
