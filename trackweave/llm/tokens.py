@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pieces that a worker keeps; beyond, those of the last batch stay.
-MEMO = 700_000
+MEMO = 500_000
 
 # White space other than space and line feed (fixed values).
 _ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x01"

@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import add_columns
+from .tokens import in_slices
 
 #: Labelled rows a class that are fitted on: those first by a hash of their id.
-TRAIN_ROWS = 2000
+TRAIN_ROWS = 1500
 BUCKETS = 1 << 18
+#: Words whose scores a task keeps.
+WORDS = 250_000
 HELD_OUT = 5
 
 _APART = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
@@ -109,15 +112,15 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.
     return forward + backward
 
 
-def _train_chain(chains: list[np.ndarray], labels: list[np.ndarray], epochs: int = 6, rate: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
-    """Adaptive gradient ascent on the chains' conditional likelihood; ``chains`` hold feature slots."""
+def _train_chain(bank: np.ndarray, chains: list[np.ndarray], labels: list[np.ndarray], epochs: int = 6, rate: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
+    """Adaptive gradient ascent on the chains' conditional likelihood; ``chains`` are rows of ``bank``, the words' feature slots."""
     weights, seen = np.zeros(BUCKETS + 2), np.full(BUCKETS + 2, 1e-6)
     trans, tseen = np.zeros((2, 2)), np.full((2, 2), 1e-6)
     order = np.random.default_rng(7).permutation(len(chains))
     for _ in range(epochs):
         for i in range(0, len(order), 256):
             part = order[i : i + 256]
-            slots = np.concatenate([chains[j] for j in part])
+            slots = bank[np.concatenate([chains[j] for j in part])]
             y = np.concatenate([labels[j] for j in part]).astype(float)
             lengths = np.array([len(chains[j]) for j in part])
             s = weights[slots].sum(axis=1)
@@ -161,24 +164,24 @@ def fit(texts: list[str], toxic: list[int], share: float = 0.1) -> Model:
     index: dict[str, int] = {}
     docs = [[index.setdefault(w, len(index)) for w in words_of(t or "") if w] for t in texts]
     words = list(index)
-    features = [word_features(w)[:-1] for w in words]
     toxic = np.array(toxic, int)
     n = np.maximum(np.bincount(toxic, minlength=2), 1)
     seen: list[Counter] = [Counter(), Counter()]
     for d, y in zip(docs, toxic):
-        seen[y].update({f for w in set(d) for f in features[w]})
+        seen[y].update({f for w in set(d) for f in word_features(words[w])[:-1]})
     least = max(3, 0.002 * n[1])
     marked = {f for f, c in seen[1].items() if c >= least and (c / n[1]) / ((seen[0][f] + 0.5) / n[0]) > 12}
-    hit = np.array([any(f in marked for f in own) for own in features], bool)
+    hit = np.array([any(f in marked for f in word_features(w)[:-1]) for w in words], bool)
+    seen.clear()
     bank = _slots(words)
     bank[:, :5][bank[:, :5] == BUCKETS] = BUCKETS + 1
     chains, labels = [], []
     for d, y in zip(docs, toxic):
         d = np.array(d, np.int64)
         for i in range(0, len(d), 200):
-            chains.append(bank[d[i : i + 200]])
+            chains.append(d[i : i + 200])
             labels.append(hit[d[i : i + 200]] & (y == 1))
-    weights, trans = _train_chain(chains, labels)
+    weights, trans = _train_chain(bank, chains, labels)
     model = Model(weights, trans, np.zeros(4))
     lengths = np.array([len(d) for d in docs], np.int64)
     own = model.word_scores(words) if words else np.zeros(0)
@@ -233,16 +236,21 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
         model = shared.value
         held: dict[str, float] = {}
 
-        def run(texts):
-            texts = [t or "" for t in texts.to_pylist()]
+        def run(column):
+            every = [t or "" for t in column.to_pylist()]
+            parts = [part(every[a:b]) for a, b in in_slices(every, 1 << 22)]
+            return [pa.concat_arrays(x) for x in zip(*parts)]
+
+        def part(texts):
             plain = pa.array([t.lower().translate(_TO_SPACE) for t in texts], pa.large_string())
             lists = pc.split_pattern(plain, " ")
             coded = lists.flatten().dictionary_encode()
             words = coded.dictionary.to_pylist()
-            if len(held) > 1_000_000:
+            if len(held) > WORDS:
                 held.clear()
             new = [w for w in words if w not in held]
-            held.update(zip(new, model.word_scores(new).tolist() if new else []))
+            for i in range(0, len(new), 50_000):
+                held.update(zip(new[i : i + 50_000], model.word_scores(new[i : i + 50_000]).tolist()))
             own = np.array([held[w] for w in words])
             full = np.array([w != "" for w in words], bool)
             idx = coded.indices.to_numpy()
