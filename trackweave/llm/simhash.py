@@ -196,4 +196,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     marks = near_duplicates(docs, id_col, text_col)
     kept = materialize(marks.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct(), "kept")
-    return docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["__kept"]), "left_semi")
+    # ids grow with the input, so that they are never broadcast: one plan at every size
+    return docs.join(kept.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(kept["__kept"]), "left_semi")
