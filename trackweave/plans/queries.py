@@ -98,9 +98,9 @@ def sessionize(spark, d):
     return _sess(spark, d).select("event_id", "icao24", "seq")
 
 
-@query("SELECT segment_id, icao24, seq, s0, s1, n_points, round(gap_minutes, 6) AS gap_minutes FROM seg")
+@query("SELECT segment_id, icao24, seq, s0, s1, n_points, s1 - s0 AS gap_us FROM seg")
 def build_segments(spark, d):
-    return _seg(spark, d).select("segment_id", "icao24", "seq", "s0", "s1", "n_points", r("gap_minutes"))
+    return _seg(spark, d).select("segment_id", "icao24", "seq", "s0", "s1", "n_points", (F.col("s1") - F.col("s0")).alias("gap_us"))
 
 
 @query("SELECT event_id, icao24, seq, t FROM pts")
@@ -181,9 +181,9 @@ def phase_partition(spark, d):
     return j.select("event_id", "segment_id", F.when(F.col("t") < F.col("s0"), "before").when(F.col("t") <= F.col("s1"), "during").otherwise("after").alias("phase"))
 
 
-@query("SELECT segment_id, n_points, round(gap_minutes, 6) AS gap_minutes FROM seg ORDER BY n_points DESC, gap_minutes, segment_id LIMIT 50")
+@query("SELECT segment_id, n_points, s1 - s0 AS gap_us FROM seg ORDER BY n_points DESC, gap_minutes, segment_id LIMIT 50")
 def topn_candidates(spark, d):
-    return _seg(spark, d).orderBy(F.desc("n_points"), "gap_minutes", "segment_id").limit(50).select("segment_id", "n_points", r("gap_minutes"))
+    return _seg(spark, d).orderBy(F.desc("n_points"), "gap_minutes", "segment_id").limit(50).select("segment_id", "n_points", (F.col("s1") - F.col("s0")).alias("gap_us"))
 
 
 @query("SELECT CAST(floor(gap_minutes / 600) AS BIGINT) AS bin, count(*) AS n FROM seg GROUP BY ALL")
