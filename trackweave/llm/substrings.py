@@ -30,6 +30,8 @@ LENGTH, GRAM = 200, 64
 SLICE, CONTEXTS = 1 << 20, 8192
 #: An anchor with more runs than this is not gathered in one task.
 HOT = 10_000
+#: So many hashes of texts with copies are broadcast; beyond, they are joined by a shuffle.
+COPIED = 1_000_000
 _POS = 28
 _MASK = np.uint64((1 << _POS) - 1)
 
@@ -152,7 +154,15 @@ def _find_runs(length: int, gram: int):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
             doc, g, c, p, lo, hi = text_runs(texts, tables, length, gram)
             if len(doc):
-                yield pa.RecordBatch.from_arrays([pa.array(uid[doc]), pa.array(g), pa.array(c), pa.array((lo << 16) | ((p - lo) << 8) | (hi - lo))], names=["uid", "g", "c", "pos"])
+                # equal contexts of one text are one row, which holds the places of the others
+                key = _mix(c.view(np.uint64) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                order = np.argsort(key, kind="stable")
+                doc, g, c, pos, key = doc[order], g[order], c[order], ((lo << 16) | ((p - lo) << 8) | (hi - lo))[order], key[order]
+                new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (c[1:] != c[:-1]) | (g[1:] != g[:-1])))
+                heads = np.flatnonzero(new)
+                others = np.diff(np.concatenate((heads, [len(new)]))) - 1
+                more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(others))).astype(np.int32)), pa.array(pos[~new]), mask=pa.array(others == 0))
+                yield pa.RecordBatch.from_arrays([pa.array(uid[doc[heads]]), pa.array(g[heads]), pa.array(c[heads]), pa.array(pos[heads]), more], names=["uid", "g", "c", "pos", "more"])
 
     return run
 
@@ -269,7 +279,7 @@ def repeated_spans(docs: DataFrame, uid: str, text: str, length: int = LENGTH, g
 
     assert gram < length <= gram + 254
     rows = docs.select(uid, text).where(F.octet_length(text) >= length)
-    everything = rows.mapInArrow(_find_runs(length, gram), "uid long, g long, c long, pos long")
+    everything = rows.mapInArrow(_find_runs(length, gram), "uid long, g long, c long, pos long, more array<long>")
     crowded = materialize(everything.groupBy("g").count().where(F.col("count") > hot).select("g"), "crowded")
     some = crowded.count()
     side = F.broadcast(crowded) if some <= 1_000_000 else crowded  # 8 bytes a row
@@ -277,10 +287,10 @@ def repeated_spans(docs: DataFrame, uid: str, text: str, length: int = LENGTH, g
     w = Window.partitionBy("g").orderBy("c")
     before, after = F.lag("c").over(w), F.lead("c").over(w)
     lowest = F.first("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = found.select("uid", "g", "pos", "c", before.alias("p"), after.alias("n"), lowest.alias("f"))
+    marked = found.select("uid", "g", "pos", "more", "c", before.alias("p"), after.alias("n"), lowest.alias("f"))
     marked = marked.select(
-        "uid", "g", "pos",
-        F.coalesce((F.col("c") == F.col("p")) | (F.col("c") == F.col("n")), F.col("c") == F.coalesce("p", "n"), F.lit(False)).alias("whole"),
+        "uid", "g", "pos", "more",
+        F.coalesce(F.when(F.col("more").isNotNull(), True), (F.col("c") == F.col("p")) | (F.col("c") == F.col("n")), F.col("c") == F.coalesce("p", "n"), F.lit(False)).alias("whole"),
         # one run of each context, where the anchor has several: of the lowest context the last one
         F.coalesce(F.when(F.col("c") == F.col("f"), F.col("n") != F.col("c")).otherwise(F.col("p") != F.col("c")), F.lit(False)).alias("open"),
     )
@@ -288,14 +298,15 @@ def repeated_spans(docs: DataFrame, uid: str, text: str, length: int = LENGTH, g
     if some:
         # of a crowded anchor, equal contexts are counted before any shuffle, and a join that can be split marks them
         many = everything.join(side, "g", "left_semi")
-        each = materialize(many.groupBy("g", "c").agg(F.count("*").alias("n"), F.first("uid").alias("uid"), F.first("pos").alias("pos")), "contexts")
-        met = many.join(each.where("n > 1").select("g", "c"), ["g", "c"]).select("uid", "g", "pos", F.lit(True).alias("whole"), F.lit(False).alias("open"), F.lit(True).alias("hot"))
-        own = each.select("uid", "g", "pos", F.lit(False).alias("whole"), F.lit(True).alias("open"), F.lit(True).alias("hot"))
+        each = materialize(many.groupBy("g", "c").agg(F.sum(F.when(F.col("more").isNull(), 1).otherwise(2)).alias("n"), F.first("uid").alias("uid"), F.first("pos").alias("pos")), "contexts")
+        met = many.join(each.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select("uid", "g", "pos", "more", F.lit(True).alias("whole"), F.lit(False).alias("open"), F.lit(True).alias("hot"))
+        own = each.select("uid", "g", "pos", F.lit(None).cast("array<long>").alias("more"), F.lit(False).alias("whole"), F.lit(True).alias("open"), F.lit(True).alias("hot"))
         marked = marked.unionByName(met).unionByName(own)
     marked = materialize(marked, "runs")
     span = lambda df: df.select("uid", "lo", "hi")
     lo = F.shiftright("pos", 16)
-    whole = marked.where("whole").select("uid", lo.alias("lo"), (lo + F.col("pos").bitwiseAND(255) + length).alias("hi"))
+    places = F.when(F.col("more").isNull(), F.array("pos")).otherwise(F.concat(F.array("pos"), "more"))
+    whole = marked.where("whole").select("uid", F.explode(places).alias("pos")).select("uid", lo.alias("lo"), (lo + F.col("pos").bitwiseAND(255) + length).alias("hi"))
     wanted = marked.where("open").groupBy("uid").agg(F.collect_list(F.struct("g", "pos", "hot")).alias("found"))  # of one text
     cut = rows.withColumnRenamed(uid, "uid").join(wanted, "uid").select("uid", text, "found").mapInArrow(_cut_contexts(length), "lead long, g long, uid long, pos long, bytes binary, hot boolean")
     dealt = cut.repartitionByRange("lead", "g").sortWithinPartitions("lead", "g")
@@ -313,11 +324,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     document or another; strings are judged on the input. Null texts are empty; texts shorter than
     ``length`` stay; rows with equal id and text are documents of their own, and so remove each other.
     """
-    d = docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("uid"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
-    spans = repeated_spans(d, "uid", "__text", length, gram, contexts, hot)
+    d = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("uid"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    # of equal texts one is searched: each string of a text that is there twice is repeated
+    copied = materialize(d.groupBy("uid").count().where(F.col("count") > 1).select("uid"), "copied")
+    side = F.broadcast(copied) if copied.count() <= COPIED else copied  # 8 bytes a row
+    alone, copies = d.join(side, "uid", "left_anti"), d.join(side, "uid", "left_semi")
+    one = materialize(copies.where(F.octet_length("__text") >= length).groupBy("uid").agg(F.first("__text").alias("__text")), "texts")
+    spans = repeated_spans(alone.select("uid", "__text").unionByName(one), "uid", "__text", length, gram, contexts, hot)
     # spans of one text, of which there are fewer than bytes
     by = spans.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    joined = d.join(by, "uid", "left")
+    n = F.octet_length("__text").cast("long")
+    all_of_it = F.when(n >= length, F.array(F.struct(F.lit(0).cast("long").alias("lo"), n.alias("hi"))))
+    joined = alone.join(by, "uid", "left").select("__id", "__text", "spans").unionByName(copies.select("__id", "__text", all_of_it.alias("spans")))
 
     def factory():
         def run(texts, spans):
