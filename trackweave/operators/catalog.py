@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .ranges import points_within
 
 
 def parse_time(text: Column) -> Column:
@@ -55,7 +56,7 @@ def halves_trend(periods: DataFrame, period: str, value: str, factor: float = 1.
 
 def last_before(dense: DataFrame, segments: DataFrame, context: int, length: int) -> DataFrame:
     """The last ``length`` dense points before each segment, padded on the left: the latest is at ``length`` - 1."""
-    j = segments.select("segment_id", "icao24", "s0").join(dense.select("icao24", "event_id", "t"), "icao24").where((F.col("t") >= F.col("s0") - context) & (F.col("t") < F.col("s0")))
+    j = points_within(segments.select("segment_id", "icao24", "s0"), dense, F.col("s0") - context, F.col("s0"), ["event_id", "t"])
     rn = F.row_number().over(Window.partitionBy("segment_id").orderBy(F.desc("t"), F.desc("event_id")))
     return j.withColumn("rn", rn).where(F.col("rn") <= length).withColumn("position", length - F.col("rn"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .ranges import points_within
 
 MINUTE = 60_000_000
 
@@ -77,8 +78,7 @@ def resample(points: DataFrame, keys: list[str], values: list[str], step: int, e
 
 def anchors(points: DataFrame, segments: DataFrame, context: int) -> DataFrame:
     """Of each segment: last dense point before and first after it, within ``context``."""
-    p = points.select("icao24", "t", "latitude", "longitude")
-    hit = segments.join(p, "icao24").where((F.col("t") >= F.col("s0") - context) & (F.col("t") < F.col("s1") + context))
+    hit = points_within(segments.select("segment_id", "icao24", "seq", "s0", "s1"), points, F.col("s0") - context, F.col("s1") + context, ["t", "latitude", "longitude"])
     before, after = F.col("t") < F.col("s0"), F.col("t") > F.col("s1")
     point = F.struct("t", "latitude", "longitude")
     got = hit.groupBy("segment_id", "icao24", "seq").agg(F.max(F.when(before, point)).alias("a"), F.min(F.when(after, point)).alias("b"))

@@ -8,6 +8,7 @@ from ..functions import geo
 from ..operators import catalog as C
 from ..operators import segments as S
 from ..operators import tracks as K
+from ..operators.ranges import points_within
 from ..sources.reports import points, reports
 from .queries import _ERR, _SPEED, CONTEXT, HOUR, KEY, _anc, _dup, _DUP, _gc, _pts, _screen, _seg, query, r
 
@@ -122,7 +123,7 @@ def stitch_track(spark, d):
     s = _seg(spark, d).select("segment_id", *KEY, "s0", "s1")
     inner = _pts(spark, d).join(s, KEY).select("segment_id", "event_id", F.lit("adsc").alias("source"))
     t = F.col("t")
-    outer = s.join(points(spark, d, "adsb").select("icao24", "event_id", "t"), "icao24").where((t >= F.col("s0") - CONTEXT) & (t < F.col("s1") + CONTEXT) & ((t < F.col("s0")) | (t > F.col("s1"))))
+    outer = points_within(s, points(spark, d, "adsb"), F.col("s0") - CONTEXT, F.col("s1") + CONTEXT, ["event_id", "t"]).where((t < F.col("s0")) | (t > F.col("s1")))
     return inner.unionByName(outer.select("segment_id", "event_id", F.when(t < F.col("s0"), "before").otherwise("after").alias("source")))
 
 
