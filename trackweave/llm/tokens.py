@@ -1,9 +1,10 @@
 """Token ids of whole texts by the tokenizers library, with a memo of words already met.
 
 A byte-level BPE vocabulary with the usual pre-tokenizer never joins what a single space or line
-feed parts. Texts without other white space, and without two white spaces in a row, are therefore
-cut at these, each distinct piece is given to the library once a worker, and the ids are gathered.
-All other texts go to the library whole.
+feed parts, nor a letter or digit with punctuation other than an apostrophe after it. Texts without
+other white space, and without two white spaces in a row, are therefore cut at white space and each
+distinct piece once more before its closing punctuation; the library gets each stem that the worker's
+memo lacks, and the ids are gathered. All other texts go to the library whole.
 """
 
 from __future__ import annotations
@@ -11,19 +12,22 @@ from __future__ import annotations
 import os
 import re
 import sys
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-#: Distinct pieces that a worker keeps; beyond, those of the last batch stay.
-MEMO = 500_000
+#: Distinct stems that a worker keeps; beyond, those met again since the last time stay.
+MEMO = 400_000
 
 # White space other than space and line feed (fixed values).
 _ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x01"
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
+_CLOSING = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_BEFORE = {c for c in map(chr, range(256)) if c.isalpha() or c in "0123456789"} - {"\xaa", "\xb5", "\xba"}
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -52,10 +56,31 @@ class Encoder:
         apart = [i for w in ("a", "\n", " b", "\n", "c", " d") for i in self.tok.encode(w, add_special_tokens=False).ids]
         self.line = line[0] if len(line) == 1 and probe == apart else None  # else every text goes whole
         self.memo: dict[str, bytes] = {}
+        self.seen: set[str] = set()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that the memo lacks, each by its stem and its closing punctuation."""
+        memo = self.memo
+        stems = list(map(str.rstrip, pieces, repeat(_CLOSING)))
+        tails = {}
+        for i in [i for i, (p, s) in enumerate(zip(pieces, stems)) if len(p) != len(s)]:
+            p, s = pieces[i], stems[i]
+            if s[-1:] in _BEFORE:
+                tails[i] = "\x01" + p[len(s) :]
+            else:
+                stems[i] = p
+        distinct = dict.fromkeys(stems) | dict.fromkeys(tails.values())
+        missing = [s for s in distinct if s not in memo]
+        self.seen.update(filter(memo.__contains__, distinct))
+        self._learn(missing)
+        out = [memo[s] for s in stems]
+        for i, t in tails.items():
+            out[i] += memo[t]
+        return out
+
     def _learn(self, pieces: list[str]) -> None:
         """``pieces``: as cut by ``_cut``; the first character tells what stood before."""
         memo, line = self.memo, self.line
@@ -107,15 +132,18 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         at = lists.offsets.to_numpy()
         at = at - at[0]
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         get = self.memo.get
         own = list(map(get, pieces))
+        met = [p for p, b in zip(pieces, own) if b is not None]
+        self.seen.update(met)
         if len(self.memo) > MEMO:
-            self.memo = {p: b for p, b in zip(pieces, own) if b is not None}
+            self.memo = {p: self.memo[p] for p in self.seen}
+            self.seen = set(met)
         missing = [p for p, b in zip(pieces, own) if b is None]
         if missing:
-            self._learn(missing)
-            own = [self.memo[p] if b is None else b for p, b in zip(pieces, own)]
+            new = iter(self._pieces(missing))
+            own = [next(new) if b is None else b for b in own]
         lens = np.fromiter(map(len, own), np.int64, len(own)) >> 2
         bank = np.frombuffer(b"".join(own), np.uint32)
         starts = np.cumsum(lens) - lens
