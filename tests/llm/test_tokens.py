@@ -20,3 +20,14 @@ def test_encoder_equals_the_library(monkeypatch, memo):
         got = np.split(ids, np.cumsum(counts)[:-1])
         assert [g.tolist() for g in got] == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
         assert memo or len(enc.memo) < 500
+
+
+def test_added_tokens_as_by_default():
+    from tokenizers import Tokenizer
+
+    fresh, enc = Tokenizer.from_file(T.vocabulary_path()), T.Encoder(T.vocabulary_path())
+    texts = ["foo <|endoftext|> bar", "<|endoftext|>", "a<|endoftext|>b\nc", "plain words", "<|endoftext|><|endoftext|>, x", "< |endoftext|>"]
+    ids, counts = enc.encode(texts)
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [g.tolist() for g in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert want[0] == [21943, 220, 50256, 2318]

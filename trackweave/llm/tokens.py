@@ -2,9 +2,9 @@
 
 A byte-level BPE vocabulary with the usual pre-tokenizer never joins what a single space or line
 feed parts, nor a letter or digit with punctuation other than an apostrophe after it. Texts without
-other white space, and without two white spaces in a row, are therefore cut at white space and each
-distinct piece once more before its closing punctuation; the library gets each stem that the worker's
-memo lacks, and the ids are gathered. All other texts go to the library whole.
+other white space, without two white spaces in a row and without an added token are therefore cut at
+white space and each distinct piece once more before its closing punctuation; the library gets each stem
+that the worker's memo lacks, and the ids are gathered. All other texts go to the library whole.
 """
 
 from __future__ import annotations
@@ -43,18 +43,21 @@ def _plain(text: str) -> bool:
 
 
 class Encoder:
-    """Ids of texts, as a tokenizers file at ``path`` gives them; special tokens' strings are ordinary text."""
+    """Ids of texts, as a tokenizers file at ``path`` gives them by default; none are added at the ends."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder().values()
+        self.added = [a.content for a in added]
+        # matched in normalized text, or across the white space where texts are cut
+        wide = any((a.normalized and self.tok.normalizer) or len(a.content.split()) != 1 or a.content != a.content.strip() for a in added)
         line = self.tok.encode("\n", add_special_tokens=False).ids
         probe = self.tok.encode("a\n b\nc d", add_special_tokens=False).ids
         apart = [i for w in ("a", "\n", " b", "\n", "c", " d") for i in self.tok.encode(w, add_special_tokens=False).ids]
-        self.line = line[0] if len(line) == 1 and probe == apart else None  # else every text goes whole
+        self.line = line[0] if len(line) == 1 and probe == apart and not wide else None  # else every text goes whole
         self.memo: dict[str, bytes] = {}
         self.seen: set[str] = set()
 
@@ -110,7 +113,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the count of each text."""
-        plain = [i for i, t in enumerate(texts) if _plain(t)] if self.line is not None else []
+        plain = [i for i, t in enumerate(texts) if _plain(t) and not any(a in t for a in self.added)] if self.line is not None else []
         if len(plain) == len(texts):
             return self._cut(texts)
         taken = set(plain)
