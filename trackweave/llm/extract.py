@@ -29,8 +29,9 @@ TRAIN_PAGES = 400
 NEXT, SAME_PARENT = 0.6, 1.2
 
 # Element and class names with a role (fixed values).
-_RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "option", "button", "canvas", "object", "title", "math"))
-_DROP = frozenset(("form", "head"))
+_RAW = frozenset(("script", "style", "textarea", "title"))
+_EMBED = frozenset(("noscript", "template", "svg", "iframe", "select", "option", "button", "canvas", "object", "math"))
+_DROP = frozenset(("form", "head")) | _EMBED
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr"))
 _BAD_TAG = frozenset(("nav", "header", "footer", "aside", "menu", "dialog"))
@@ -115,19 +116,30 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None:
             continue
         tag, closing = tag.lower(), bool(m.group(1))
+        foreign = tag in ("svg", "math") or (dropped and any(x[0] in ("svg", "math") for x in stack))
+        if foreign and not closing and m.group(3).endswith("/"):
+            continue
         if tag in _RAW and not closing:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
-            if tag not in ("textarea", "option", "button", "math") and tag not in _INLINE:
+            if tag != "textarea" and not dropped:
                 close()
             continue
         if tag == "br" or tag == "hr":
-            if tag == "hr":
+            if tag == "hr" and not dropped:
                 close()
             elif not dropped:
                 parts.append(" ")
             continue
-        if tag not in _INLINE and not dropped:
+        if tag in _GOOD_TAG and dropped and not closing:
+            # an element that never ends does not hold the main text
+            k = next((k for k, x in enumerate(stack) if x[0] in _EMBED), 0)
+            if k and not re.compile(rf"</{stack[k][0]}\b", re.I).search(page, at):
+                for gone in stack[k:]:
+                    link_depth -= gone[0] == "a"
+                    dropped -= gone[0] in _DROP
+                del stack[k:]
+        if tag not in _INLINE and tag not in ("option", "button", "math") and not dropped:
             close()
         if closing:
             k = len(stack) - 1
