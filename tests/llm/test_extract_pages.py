@@ -18,3 +18,22 @@ def test_article_after_embedded_element(before):
         if end and before in ("<button>Menu",):
             continue  # there the button does end, behind the article
         assert extract.main_text(f"<html><body>{before}{ARTICLE}{end}</body></html>", extract.fit([], [])) == f"A title\n{TEXT}"
+
+
+@pytest.mark.parametrize("page", [
+    '<body class="single has-sidebar">{}</body>', '<body class="home widget">{}</body>', '<div class="content with-sidebar">{}</div>', '<div id="page" class="widget">{}</div>',
+])
+def test_names_around_the_article(page):
+    assert extract.main_text(page.format(ARTICLE), extract.fit([], [])) == f"A title\n{TEXT}"
+
+
+@pytest.mark.parametrize("name", ["post comments-open", "post related", "share"])
+def test_names_on_the_article(name):
+    page = ARTICLE.replace("<article>", f'<article class="{name}">')
+    assert extract.main_text(page, extract.fit([], [])) == f"A title\n{TEXT}"
+
+
+def test_name_is_outweighed_by_the_text_only():
+    long = " ".join([TEXT] * 6)
+    page = f'<div class="widget"><p>{long}</p><p>{long}</p></div><div class="share">Share this</div><aside><p>{long}</p></aside>'
+    assert extract.main_text(page, extract.fit([], [])) == f"{long}\n{long}"

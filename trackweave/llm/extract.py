@@ -27,6 +27,8 @@ from .common import add_columns
 TRAIN_PAGES = 400
 #: Edges between neighbours, and between blocks whose parent is the same element.
 NEXT, SAME_PARENT = 0.6, 1.2
+#: Cost of keeping a block below a class or id that names another role; log odds go to 4, so that they can outweigh it.
+NAMED = 3.0
 
 # Element and class names with a role (fixed values).
 _RAW = frozenset(("script", "style", "textarea", "title"))
@@ -37,6 +39,7 @@ _INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "
 _BAD_TAG = frozenset(("nav", "header", "footer", "aside", "menu", "dialog"))
 _GOOD_TAG = frozenset(("article", "main"))
 _BAD_NAME = re.compile(r"(?:^|[\s_-])(?:nav|navbar|menu|header|footer|sidebar|side|ad|ads|advert\w*|banner|promo|sponsor\w*|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|comment|comments|disqus|reply|replies|breadcrumb\w*|pagination|pager|login|search|toolbar|widget|copyright|legal|disclaimer)(?=$|[\s_-])", re.I)
+_MODIFIER = re.compile(r"(?:has|with|without|no|show|hide)[_-]|.*[_-](?:open|closed|enabled|disabled)$", re.I)  # says what else a page has
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?=$|[\s_-])", re.I)
 _ROLE = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "dialog": -1, "alert": -1, "main": 1, "article": 1}
 
@@ -52,7 +55,7 @@ class Block:
     text: str
     tag: str  # the element that holds it
     parent: int  # number of that element's parent
-    hint: int  # 1 or -1: the nearest ancestor that names a role
+    hint: int  # of the ancestors that name a role: 1 main text, -1 another role by class or id, -2 by element, role or hidden
     links: int  # characters within links
     depth: int
     place: float = 0.0
@@ -60,24 +63,34 @@ class Block:
 
 def _hint(tag: str, attrs: str) -> int:
     if tag in _BAD_TAG:
-        return -1
-    if tag in _GOOD_TAG:
-        found = 1
-    else:
-        found = 0
+        return -2
+    good, bad = tag in _GOOD_TAG, False
     if attrs:
         for m in _ATTR.finditer(attrs):
             name, value = m.group(1).lower(), next((g for g in m.groups()[1:] if g is not None), "")
             if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-                return -1
+                return -2
             if name == "role" and value.lower() in _ROLE:
-                return _ROLE[value.lower()]
+                return 1 if _ROLE[value.lower()] > 0 else -2
             if name in ("class", "id"):
-                if _BAD_NAME.search(value):
-                    return -1
-                if _GOOD_NAME.search(value):
-                    found = 1
-    return found
+                for word in value.split():
+                    if _BAD_NAME.search(word):
+                        bad |= not _MODIFIER.match(word)
+                    elif _GOOD_NAME.search(word):
+                        good = True
+    if tag in _GOOD_TAG:
+        return 1
+    if tag in ("html", "body"):
+        return 0  # their classes tell what the page has, not what it is
+    return 0 if good == bad else 1 if good else -1
+
+
+def _inherited(tag: str, own: int, up: int) -> int:
+    if own == -2 or up == -2:
+        return -2
+    if up == -1 and tag not in _GOOD_TAG:
+        return -1
+    return own or up
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -168,7 +181,7 @@ def blocks_of(page: str) -> list[Block]:
         number += 1
         own = _hint(tag, m.group(3))
         up = stack[-1][2]
-        stack.append((tag, number, -1 if own < 0 or (up < 0 and own <= 0) or up == -1 else own or up))
+        stack.append((tag, number, _inherited(tag, own, up)))
         link_depth += tag == "a"
         dropped += tag in _DROP
     close()
@@ -276,21 +289,20 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
 
 
 def label(blocks: list[Block], weights: np.ndarray) -> list[bool]:
-    """True: content. The classifier's log odds, and a strong cost for roles that the page names."""
+    """True: content. The classifier's log odds, a strong cost for roles by element, a moderate one for roles by name."""
     if not blocks:
         return []
     odds = np.clip(features(blocks) @ weights, -4, 4)
     hint = np.array([b.hint for b in blocks])
-    strong = 40.0 * (hint < 0)
+    strong = 40.0 * (hint == -2) + NAMED * (hint == -1)
     keep = np.maximum(odds, 0) + 6.0 * (hint > 0)
     drop = np.maximum(-odds, 0) + strong
-    keep[hint < 0] = np.minimum(keep[hint < 0], 4.0)
     edges, last = [], {}
     for i, b in enumerate(blocks):
-        if i and blocks[i - 1].hint * b.hint >= 0:
+        if i and (blocks[i - 1].hint == -2) == (b.hint == -2):
             edges.append((i - 1, i, NEXT))
         j = last.get(b.parent)
-        if j is not None and blocks[j].hint * b.hint >= 0:
+        if j is not None and (blocks[j].hint == -2) == (b.hint == -2):
             edges.append((j, i, SAME_PARENT))
         last[b.parent] = i
     return minimum_cut(keep.tolist(), drop.tolist(), edges)
