@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import add_columns, fresh_path, materialize, shared_dir
-from .tokens import encoder, in_slices
+from .tokens import encoder, id_lists
 
 MAX_BITS = 16
-STEP = 1024
-FRAME_TOKENS = 1 << 21
+STEP = 512
+FRAME_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 23
 MAGIC = b"TWHF"
 _HEAD = struct.Struct("<IQIQ")
@@ -125,19 +125,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_
         enc = encoder(path)
 
         def run(texts):
-            texts = [t or "" for t in texts.to_pylist()]
-            counts, blobs, widths = [], [], []
-            for a, b in in_slices(texts):
-                flat, n = enc.encode(texts[a:b])
-                counts += (n + (end_id is not None)).tolist()
-                wide = 4 if (flat.max(initial=0) > 65535 or (end_id or 0) > 65535) else 2
-                kind = "<u4" if wide == 4 else "<u2"
-                tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
-                raw = flat.astype(kind).tobytes()
-                ends = (np.cumsum(n) * wide).tolist()
-                blobs += [raw[s:e] + tail for s, e in zip([0, *ends[:-1]], ends)]
-                widths += [wide] * (b - a)
-            return [pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), pa.array(widths, pa.int32())]
+            ids, counts = enc.encode(texts, end_id)
+            return [pa.array(counts), id_lists(ids, counts), pa.array(np.full(len(counts), ids.itemsize, np.int32))]
 
         return run
 
@@ -149,17 +138,30 @@ def token_array(blob, width: int) -> np.ndarray:
     return np.frombuffer(blob, "<u2" if width == 2 else "<u4")
 
 
+def runs_of(blobs: pa.Array, widths: pa.Array):
+    """The ids of all rows, rows of one width together, as they lie in Arrow's buffer."""
+    width = widths.to_numpy()
+    cuts = np.flatnonzero(np.diff(width)) + 1
+    for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(width)]):
+        if e > a:
+            part = blobs.slice(a, e - a).cast(pa.large_binary())
+            ends = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+            raw = np.frombuffer(part.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+            yield np.frombuffer(raw.tobytes(), "<u2" if width[a] == 2 else "<u4")
+
+
 def id_counts(tokens: DataFrame) -> np.ndarray:
     """Count of each id over all rows; at most one row an id of the vocabulary reaches the driver."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for blob, w in zip(b.column(0), b.column(1).to_pylist()):
-                n = np.bincount(token_array(blob.as_buffer(), w))
-                if len(n) > len(total):
-                    total = np.concatenate((total, np.zeros(len(n) - len(total), np.int64)))
-                total[: len(n)] += n
+            for ids in runs_of(b.column(0), b.column(1)):
+                for k in range(0, len(ids), FRAME_TOKENS):
+                    n = np.bincount(ids[k : k + FRAME_TOKENS])
+                    if len(n) > len(total):
+                        total = np.concatenate((total, np.zeros(len(n) - len(total), np.int64)))
+                    total[: len(n)] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
@@ -202,14 +204,20 @@ def write_files(tokens: DataFrame, folder: str, id_col: str = "doc_id", max_bits
         out = None
         temp, final = f"{place}/_tmp-{part}-{attempt}", f"{place}/part-{part:06d}.twhf"
         for b in batches:
-            for d, c, blob, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-                if out is None:
-                    out = store.open_output_stream(temp)
-                    out.write(MAGIC + struct.pack("<I", len(packed)) + packed)
-                doc_ids.append(d)
-                counts.append(c)
-                held.append(token_array(blob.as_buffer(), w).astype(np.int64))
-                size, docs, n = size + c, docs + 1, n + c
+            if out is None and b.num_rows:
+                out = store.open_output_stream(temp)
+                out.write(MAGIC + struct.pack("<I", len(packed)) + packed)
+            own, sizes = b.column(0).to_pylist(), b.column(1).to_numpy()
+            every = list(runs_of(b.column(2), b.column(3)))
+            ids = every[0] if len(every) == 1 else np.concatenate(every) if every else np.empty(0, np.uint16)
+            docs, n, at, first = docs + len(own), n + len(ids), 0, 0
+            ends = np.cumsum(sizes)
+            while first < len(own):  # a frame is closed by the document that fills it
+                stop = min(len(own), int(np.searchsorted(ends, at + FRAME_TOKENS - size)) + 1)
+                doc_ids += own[first:stop]
+                counts += sizes[first:stop].tolist()
+                held.append(ids[at : ends[stop - 1]])
+                size, at, first = size + int(ends[stop - 1] - at), int(ends[stop - 1]), stop
                 if size >= FRAME_TOKENS:
                     out.write(_frame(doc_ids, counts, np.concatenate(held), codes, lengths))
                     doc_ids, counts, held, size = [], [], [], 0
