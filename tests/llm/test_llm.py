@@ -432,3 +432,23 @@ def test_pipeline(spark, sf_dir):
         before = spark.createDataFrame(after.collect(), docs.schema)
     assert before.count() > 0
     assert {r.doc_id for r in cp.run(spark, sf_dir).collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_packing_is_no_worse_than_best_fit_decreasing():
+    rng = np.random.default_rng(3)
+    cases = [rng.integers(1, 1024, 8000), np.clip(rng.normal(420, 60, 8000).astype(int), 1, 1023), np.clip(rng.lognormal(5.5, 1, 8000).astype(int), 1, 1023), rng.integers(300, 360, 500), np.array([513] * 7 + [511] * 7 + [1])]
+    for lengths in cases:
+        histogram = Counter(lengths.tolist())
+        bins = packing.pack_histogram(dict(histogram), 1024)
+        assert sum((Counter({k: v * m for k, v in Counter(b).items()}) for b, m in bins), Counter()) == histogram
+        assert all(sum(b) <= 1024 for b, _ in bins)
+        plain = packing.best_fit([], dict(histogram), 1024)
+        assert sum(m for _, m in bins) <= sum(m for _, m in plain)
+
+
+def test_packing_takes_most_bins_from_configurations():
+    histogram = Counter(np.random.default_rng(4).integers(257, 1024, 20000).tolist())
+    grouped = packing.round_up_groups(dict(histogram), packing.GROUPS)
+    demand = [sum(n for _, n in members) for _, members in grouped]
+    found = sum(int(x + 1e-9) for _, x in packing.configurations([top for top, _ in grouped], demand, 1024))
+    assert found > 0.9 * packing.number(packing.pack_histogram(dict(histogram), 1024))

@@ -4,7 +4,8 @@ Only the histogram of lengths matters to a packing, and it has at most as many r
 has tokens. Large lengths are rounded up within groups of equal cardinality; a linear programme over
 the configurations of these few sizes is solved by column generation and rounded down; the actual
 lengths take the places of the rounded ones; what is left, and all small lengths, go where they fit best.
-Rounding wastes room, so a repair dissolves the bins with room and puts their lengths best fit again.
+Rounding down leaves some bins open, and a repair puts the lengths of these best fit again. Where plain
+best-fit decreasing still takes fewer bins (by 0.3 % at most, on even lengths), its answer stands.
 Documents then take their places by rank within their length.
 """
 
@@ -21,12 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import add_columns, materialize
-from .tokens import encoder, in_slices
+from .tokens import encoder, id_lists
 
-GROUPS = 32
+#: Groups at the utmost, and lengths to a group at the least.
+GROUPS, MEMBERS = 256, 16
 SMALL = 1 / 4
-#: Bins with more room than one of these are dissolved and their lengths put anew; the best outcome stays.
-REPAIR = (0, 4, 16, 64)
+#: Bins of no configuration, or with more room than one of these, are dissolved and their lengths put anew; the best outcome stays.
+REPAIR = (16, 64)
 
 
 def round_up_groups(histogram: dict[int, int], groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -60,25 +62,28 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     basis = np.diag((capacity // w).astype(float))
     inverse = np.diag(1 / (capacity // w))
     columns = [basis[:, i].copy() for i in range(n)]
-    x = inverse @ np.array(demand, float)
-    for step in range(60 * n + 200):
+    demand = np.array(demand) + np.arange(n) / (1000.0 * n)  # equal demands would make many steps of length zero
+    x = inverse @ demand
+    # a configuration holds at most so many sizes; each level of the knapsack adds one of them, or none
+    most = capacity // int(w.min())
+    rest = np.arange(capacity + 1)[:, None] - w
+    into, over = np.maximum(rest, 0), rest < 0
+    for step in range(8 * n + 50):  # every step leaves a solution
         y = inverse.sum(axis=0)
-        best = np.zeros(capacity + 1)
-        pick = np.full(capacity + 1, -1)
-        for c in range(1, capacity + 1):
-            best[c], ok = best[c - 1], w <= c
-            if ok.any():
-                value = np.where(ok, best[np.maximum(c - w, 0)] + y, -1.0)
-                i = int(value.argmax())
-                if value[i] > best[c] + 1e-12:
-                    best[c], pick[c] = value[i], i
-        if best[capacity] <= 1 + 1e-7:
+        best, picks = np.zeros(capacity + 1), []
+        for _ in range(most):
+            value = best[into] + y
+            value[over] = -1.0
+            i = value.argmax(axis=1)
+            value = value[np.arange(capacity + 1), i]
+            picks.append(np.where(value > best + 1e-12, i, -1))
+            best = np.maximum(best, value)
+        total = x.sum()
+        if total - total / best[capacity] <= max(0.5, 5e-5 * total):  # no solution is better than total / best
             break
         a, c = np.zeros(n), capacity
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-            else:
+        for pick in reversed(picks):
+            if pick[c] >= 0:
                 a[pick[c]] += 1
                 c -= w[pick[c]]
         d = inverse @ a
@@ -93,7 +98,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
         inverse[out] = row
         if step % 200 == 199:
             inverse = np.linalg.inv(np.array(columns).T)
-            x = inverse @ np.array(demand, float)
+            x = inverse @ demand
     return [(c, max(0.0, v)) for c, v in zip(columns, x)]
 
 
@@ -104,7 +109,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int, groups: int = GROUP
     rest: dict[int, int] = defaultdict(int, {k: v for k, v in histogram.items() if k not in large})
     bins: list[tuple[tuple[int, ...], int]] = []
     if large:
-        grouped = round_up_groups(large, groups)
+        grouped = round_up_groups(large, min(groups, 1 + sum(large.values()) // MEMBERS))
         demand = [sum(n for _, n in members) for _, members in grouped]
         tops = [top for top, _ in grouped]
         solved = [([t for t, a in zip(tops, config) for _ in range(int(round(a)))], int(x + 1e-9)) for config, x in configurations(tops, demand, capacity)]
@@ -122,8 +127,12 @@ def pack_histogram(histogram: dict[int, int], capacity: int, groups: int = GROUP
             if capacity - sum(lengths) > most:
                 for length in lengths:
                     again[length] += m
-        best = min(best, best_fit(kept, dict(again), capacity), key=lambda b: sum(m for _, m in b))
-    return best
+        best = min(best, best_fit(kept, dict(again), capacity), key=number)
+    return min(best, best_fit([], histogram, capacity), key=number)
+
+
+def number(bins: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(m for _, m in bins)
 
 
 def substitute(solved: list[tuple[list[int], int]], large: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -226,25 +235,19 @@ def pack_documents(docs: DataFrame, path: str, length: int = 1024, end_id: int =
         seen, nr = np.zeros(limit, np.int64), [0]
 
         def run(texts):
-            texts = [t or "" for t in texts.to_pylist()]
-            blobs, sizes = [], []
-            for a, b in in_slices(texts):
-                flat, n = enc.encode(texts[a:b])
-                raw = flat.astype("<u4" if flat.max(initial=0) > 65535 else "<u2")
-                tail = np.array([end_id], raw.dtype).tobytes()
-                data, ends = raw.tobytes(), (np.cumsum(n) * raw.itemsize).tolist()
-                blobs += [data[s:e] + tail for s, e in zip([0, *ends[:-1]], ends)]
-                sizes += (n + 1).tolist()
-            ranks, fulls = [], []
-            for n in sizes:
-                r = n % limit
-                ranks.append(int(seen[r]))
-                fulls.append(nr[0])
-                seen[r] += 1
-                nr[0] += n // limit
+            ids, sizes = enc.encode(texts, end_id)
+            rest, k = sizes % limit, len(sizes)
+            order = np.argsort(rest, kind="stable")
+            own = rest[order]
+            new = np.flatnonzero(np.diff(own, prepend=-1))
+            ranks = np.empty(k, np.int64)
+            ranks[order] = np.arange(k) - np.repeat(new, np.diff(new, append=k)) + seen[own]
+            np.add.at(seen, rest, 1)
+            whole = sizes // limit
+            fulls = nr[0] + np.cumsum(whole) - whole
+            nr[0] += int(whole.sum())
             part = TaskContext.get().partitionId()
-            k = len(texts)
-            return [pa.array(sizes, pa.int64()), pa.array([n % limit for n in sizes], pa.int32()), pa.array(blobs, pa.binary()), pa.array([part] * k, pa.int32()), pa.array(ranks, pa.int64()), pa.array(fulls, pa.int64())]
+            return [pa.array(sizes), pa.array(rest.astype(np.int32)), id_lists(ids, sizes), pa.array(np.full(k, part, np.int32)), pa.array(ranks), pa.array(fulls)]
 
         return run
 
@@ -256,7 +259,9 @@ def pack_documents(docs: DataFrame, path: str, length: int = 1024, end_id: int =
     places, packed = _places(pack_histogram(histogram, limit, groups))
     before = Window.partitionBy("r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    rows = tokens.join(base, ["part", "r"]).select("__id", "n", "r", "ids", "part", F.expr("base + rank").alias("rank"), "full")
+    # one row a part, of at most ``length`` entries: small beside the part's ids, whether it is broadcast or joined by shuffles
+    by_rest = materialize(base.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("r", "base"))).alias("base")), "bases")
+    rows = tokens.join(by_rest, "part").select("__id", "n", "r", "ids", "part", (F.element_at("base", F.col("r")) + F.col("rank")).alias("rank"), "full")
     id_type = tokens.schema["__id"].dataType
 
     def place(batches):
