@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,10 @@ from .tokens import in_slices
 
 #: Labelled rows a class that are fitted on: those first by a hash of their id.
 TRAIN_ROWS = 1500
+#: Longest text, in bytes, that takes part in the fit.
+TRAIN_BYTES = 1 << 15
+#: Words of a chain that advance one by one; longer chains are cut into blocks.
+BLOCK = 1024
 BUCKETS = 1 << 18
 #: Words whose scores a task keeps.
 WORDS = 250_000
@@ -67,42 +71,68 @@ class Model:
         return padded[slots].sum(axis=1)
 
 
+def _advance(e: np.ndarray, starts: np.ndarray, size: np.ndarray, m: np.ndarray, entry: np.ndarray, out: np.ndarray) -> None:
+    """Fill ``out`` with the odds of chains that follow ``entry`` (NaN: nothing), all side by side."""
+    order = np.argsort(-size, kind="stable")
+    starts, size, r = starts[order], size[order], entry[order]
+    active = np.searchsorted(-size, -np.arange(1, int(size.max(initial=0)) + 1), side="right")  # chains of at least t words
+    for t, k in enumerate(active.tolist()):
+        at, r = starts[:k] + t, r[:k]
+        r = e[at] * np.where(np.isnan(r), 1.0, (m[0, 1] + m[1, 1] * r) / (m[0, 0] + m[1, 0] * r))
+        out[at] = r
+
+
+def _odds(e: np.ndarray, lengths: np.ndarray, m: np.ndarray, block: int | None = None) -> np.ndarray:
+    """Odds along chains laid end to end: e at the first word, then e (m01 + m11 r) / (m00 + m10 r).
+
+    A long chain is cut into blocks. Each is a product of two-by-two matrices, found for all blocks side by
+    side; these give what enters each block, and the blocks then advance side by side.
+    """
+    block = block or BLOCK
+    out, starts = np.empty(len(e)), np.cumsum(lengths) - lengths
+    count = np.maximum(-(-lengths // block), 1)
+    first = np.cumsum(count) - count
+    nr = np.arange(int(count.sum())) - np.repeat(first, count)
+    begin = np.repeat(starts, count) + nr * block
+    size = np.minimum(np.repeat(lengths, count) - nr * block, block)
+    entry = np.full(len(nr), np.nan)
+    most = int(count.max(initial=1))
+    if most > 1:
+        inner = np.flatnonzero((nr > 0) & (nr + 1 < np.repeat(count, count)))  # all of them of ``block`` words
+        p = np.broadcast_to(np.eye(2), (len(inner), 2, 2)).copy()
+        for t in range(block if len(inner) else 0):
+            own = e[begin[inner] + t]
+            top = m[0, 0] * p[:, 0] + m[1, 0] * p[:, 1]
+            low = own[:, None] * (m[0, 1] * p[:, 0] + m[1, 1] * p[:, 1])
+            p = np.stack((top, low), 1)
+            p /= p.max(axis=(1, 2), keepdims=True)
+        where = np.full(len(nr), -1)
+        where[inner] = np.arange(len(inner))
+        long = np.flatnonzero(count > 1)
+        heads = first[long]
+        _advance(e, begin[heads], size[heads], m, entry[heads], out)
+        r = out[begin[heads] + block - 1]
+        for j in range(1, most):
+            going = count[long] > j
+            long, r = long[going], r[going]
+            at = first[long] + j
+            entry[at] = r
+            mid = count[long] > j + 1
+            long, at, r = long[mid], at[mid], r[mid]
+            q = p[where[at]]
+            r = (q[:, 1, 0] + q[:, 1, 1] * r) / (q[:, 0, 0] + q[:, 0, 1] * r)
+    _advance(e, begin, size, m, entry, out)
+    return out
+
+
 def messages(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward log odds of the second label at every position, for chains laid end to end.
 
-    Forward and backward odds follow a two-state recursion; all chains advance side by side.
+    The backward odds times the word's own are the forward odds of the reversed chain.
     """
-    n = len(scores)
-    if not n:
-        return np.zeros(0), np.zeros(0)
-    order = np.argsort(-lengths, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[order]
-    size = lengths[order]
-    active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # chains of at least t words
-    m = np.exp(trans)
-    e = np.exp(np.clip(scores, -30, 30))
-    forward, backward = np.empty(n), np.empty(n)
-    r = e[starts[: active[0]]]
-    forward[starts[: active[0]]] = r
-    for t in range(1, int(size[0])):
-        k = active[t]
-        at = starts[:k] + t
-        r = r[:k]
-        r = e[at] * (m[0, 1] + m[1, 1] * r) / (m[0, 0] + m[1, 0] * r)
-        forward[at] = r
-    ends = starts + size - 1
-    q = np.ones(0)
-    for t in range(int(size[0]) - 1, -1, -1):  # t words from the end remain behind
-        k = active[t]
-        at = starts[:k] + t
-        # chains that end at t start with odds one
-        if len(q) < k:
-            q = np.concatenate((q, np.ones(k - len(q))))
-        last = at == ends[:k]
-        nxt = np.where(last, 0, at + 1)
-        x = np.where(last, 0.0, e[nxt] * q)
-        q = np.where(last, 1.0, (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x))
-        backward[at] = q
+    m, e = np.exp(trans), np.exp(np.clip(scores, -30, 30))
+    forward = _odds(e, lengths, m)
+    backward = _odds(e[::-1], lengths[::-1], m.T)[::-1] / e
     return np.log(np.maximum(forward, 1e-300)), np.log(np.maximum(backward, 1e-300))
 
 
@@ -203,10 +233,11 @@ def remainder(id_col) -> "F.Column":
     return F.crc32(id_col.cast("string").cast("binary")) % HELD_OUT
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = TRAIN_BYTES) -> Model:
     """Fit on at most ``rows`` labelled rows of either label whose id's CRC-32 is not divisible by five.
 
-    Rows without an id, text or label take no part. Without any labelled row of both labels, scores are
+    Rows without an id, text or label take no part, nor do texts of over ``most_bytes``, so that what reaches
+    the driver is bounded; of rows with one id one takes part. Chains are cut at 200 words for the fit alone. Without any labelled row of both labels, scores are
     those of an untrained model.
     """
     lab = labels.where(F.col("toxic").isin(0, 1) & (remainder(F.col(id_col)) != 0)).select(id_col, "toxic")
@@ -215,12 +246,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     share = count.get(1, 0) / max(1, sum(count.values()))
     first = [lab.where(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(11), F.col(id_col)), id_col).limit(rows) for y in (0, 1)]
     picked = first[0].unionByName(first[1])
-    found = docs.join(F.broadcast(picked), id_col).where(F.col(text_col).isNotNull())  # at most 2 * rows rows of two numbers
-    sample = found.select(F.col(text_col).alias("t"), "toxic").toLocalIterator()
-    texts, toxic = [], []
-    for r in sample:
-        texts.append(r.t)
-        toxic.append(r.toxic)
+    fits = docs.where(F.octet_length(F.col(f"`{text_col}`")) <= most_bytes).select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("t"))
+    found = fits.join(F.broadcast(picked.withColumnRenamed(id_col, "__id")), "__id")  # at most 2 * rows rows of two numbers
+    one = Window.partitionBy("__id").orderBy(F.xxhash64("t"), "t", "toxic")  # repeated ids: one text each
+    sample = found.withColumn("__r", F.row_number().over(one)).where("__r = 1").select(F.xxhash64(F.lit(11), "__id").alias("h"), "__id", "t", "toxic").collect()
+    sample.sort(key=lambda r: (r["h"], r["__id"]))  # the fit does not depend on how files are laid out
+    texts, toxic = [r["t"] for r in sample], [r["toxic"] for r in sample]
     return fit(texts, toxic, min(max(share, 0.01), 0.99))
 
 
