@@ -91,7 +91,7 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """Strict spans (True) and looser ones that overlap no strict span (False), in order of start."""
     strict = raw_spans(text)
     base = [(k, a, b) for k, a, b, ok in strict if ok]
-    failed = [(k, a, b) for k, a, b, ok in strict if not ok and b - a <= 40]
+    failed = [(k, a, b) for k, a, b, ok in strict if not ok]
     loose = []
     if "at" in text or "AT" in text:
         done = 0
