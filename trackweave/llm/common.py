@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local runs) a local folder is set.
+    Only where that setting is absent and the master is local (tests) a local folder is set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file:///tmp/checkpoints/trackweave"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -51,15 +53,17 @@ def add_columns(
     new = list(fields)
     names = {f.name for f in new}
     passed = [c for c in (df.columns if keep is None else keep) if c not in names]
-    source = df.select(*[df[f"`{c}`"] for c in passed], *[df[f"`{c}`"].alias(f"__in{i}") for i, c in enumerate(inputs)])
+    extra = [c for c in inputs if c not in passed]
+    source = df.select(*[df[f"`{c}`"] for c in passed], *[df[f"`{c}`"].alias(f"__in{i}") for i, c in enumerate(extra)])
     schema = T.StructType([f for c in passed for f in source.schema if f.name == c] + new)
-    k, n = len(passed), len(inputs)
+    k = len(passed)
+    at = [passed.index(c) if c in passed else k + extra.index(c) for c in inputs]
 
     def run(batches):
         fn = factory()
         for batch in batches:
             if batch.num_rows:
-                made = fn(*[batch.column(k + i) for i in range(n)])
+                made = fn(*[batch.column(i) for i in at])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:k], *made], names=[*passed, *[f.name for f in new]])
 
     return source.mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from .common import add_columns
 
 WINDOW = 10
 #: Benchmark texts are searched in blocks of about so many bytes, each shipped to all tasks.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 
 _WORD = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _WORD else 32 for c in range(256))
@@ -32,11 +32,11 @@ def words_of(text: str | None) -> list[bytes]:
 class Patterns:
     """The search tables of patterns with ``m`` words each."""
 
-    def __init__(self, m: int, found: dict[tuple[bytes, ...], set[str]]):
+    def __init__(self, m: int, found: dict[tuple[bytes, ...], frozenset[str]]):
         self.m, self.b = m, min(2, m)
         self.most = m - self.b + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], dict[tuple[bytes, ...], set[str]]] = defaultdict(dict)
+        self.buckets: dict[tuple[bytes, ...], dict[tuple[bytes, ...], frozenset[str]]] = defaultdict(dict)
         for pattern, items in found.items():
             for j in range(self.b, m + 1):
                 block = pattern[j - self.b : j]
@@ -59,12 +59,17 @@ class Patterns:
 
 
 def build(items: list[tuple[str, str]], window: int = WINDOW) -> list[Patterns]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+    by_length: dict[int, dict[tuple[bytes, ...], frozenset[str]]] = defaultdict(dict)
+    known: dict[bytes, bytes] = {}  # one object a word
+    alone: dict[str, frozenset[str]] = {}
     for item, text in items:
-        words = words_of(text)
+        words = [known.setdefault(w, w) for w in words_of(text)]
+        own = alone.setdefault(item, frozenset((item,)))
         m = min(window, len(words))
         for i in range(len(words) - m + 1 if m else 0):
-            by_length[m][tuple(words[i : i + m])].add(item)
+            pattern = tuple(words[i : i + m])
+            found = by_length[m].get(pattern, own)
+            by_length[m][pattern] = found if item in found else found | own
     return [Patterns(m, found) for m, found in by_length.items()]
 
 
@@ -106,10 +111,11 @@ def benchmark_overlap(
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hit_spans", span), T.StructField("contaminated", T.BooleanType())]
     names = [f.name for f in fields]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
-    out = source
+    again = text_col in kept  # the text goes to the tasks once
+    name = text_col if again else "__text"
+    out = docs.select(*[F.col(f"`{c}`") for c in kept], *([] if again else [F.col(f"`{text_col}`").alias(name)]))
     for k in range(blocks):
-        items = [(r.item, r.words) for r in b.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]  # about block_bytes
+        items = [(r.item, r.words) for r in b.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k).collect()]  # about block_bytes
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def factory(shared=shared, first=k == 0):
@@ -130,12 +136,12 @@ def benchmark_overlap(
 
             return run
 
-        out = add_columns(out, ["__text"] + ([] if k == 0 else ["item_ids", "hit_spans"]), fields, factory, keep=[*kept] + (["__text"] if k + 1 < blocks else []))
+        out = add_columns(out, [name] + ([] if k == 0 else ["item_ids", "hit_spans"]), fields, factory, keep=[*kept, *([name] if k + 1 < blocks and not again else [])])
     return out
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that hold no benchmark window, with their own columns."""
-    marked = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    found = benchmark_overlap(marked.select("__row", F.col("text").alias("__t")), benchmark, "__t", window=window, keep=["__row"])
-    return found.where(~F.col("contaminated")).select("__row.*")
+    own = [f"__c{i}" for i in range(len(docs.columns))]  # no name of theirs is replaced
+    found = benchmark_overlap(docs.toDF(*own), benchmark, own[docs.columns.index("text")], window=window)
+    return found.where(~F.col("contaminated")).select(*own).toDF(*docs.columns)
