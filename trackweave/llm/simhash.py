@@ -8,6 +8,8 @@ grouping on these 33 signatures meets every pair, and the whole fingerprints dec
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,17 +24,37 @@ SEED = 42
 DENSE = 64
 
 
-def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space
-    if not words:
-        return []
-    if len(words) <= width:
-        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
+#: Bytes of a text whose shingles are hashed at a time.
+PART = 1 << 22
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _hashes(words: list[bytes], width: int) -> list[int]:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+
+
+def shingle_parts(text: str | None, width: int = 3):
+    """The shingles' hashes of a text, part by part; words are cut at ASCII white space and lower-cased A-Z."""
+    raw, at, carry, some = (text or "").encode("utf-8", "surrogatepass"), 0, [], False
+    while at < len(raw):
+        gap = _GAP.search(raw, at + PART) if at + PART < len(raw) else None
+        end = gap.end() if gap else len(raw)
+        words = carry + raw[at:end].lower().split()
+        at = end
+        if len(words) >= width:
+            yield _hashes(words, width)
+            some = True
+        carry = words[max(0, len(words) - width + 1) :]
+    if carry and not some:
+        yield [xxhash.xxh64_intdigest(b" ".join(carry), SEED)]
+
+
+def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
+    return [h for part in shingle_parts(text, width) for h in part]
 
 
 def fingerprints(texts: list[str | None], width: int = 3, block: int = 1 << 19) -> np.ndarray:
@@ -52,6 +74,14 @@ def fingerprints(texts: list[str | None], width: int = 3, block: int = 1 << 19)
 
     rows, counts, hashes = [], [], []
     for i, text in enumerate(texts):
+        if len(text or "") > PART:  # summed part by part
+            sums, n = np.zeros(64, np.int64), 0
+            for h in shingle_parts(text, width):
+                for k in range(0, len(h), 1 << 16):
+                    sums += np.unpackbits(np.array(h[k : k + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                n += len(h)
+            out[i] = ((2 * sums > n).astype(np.uint64) * (one << shifts)).sum(dtype=np.uint64)
+            continue
         h = shingle_hashes(text, width)
         if h:
             rows.append(i)
