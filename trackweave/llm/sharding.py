@@ -3,62 +3,73 @@
 from __future__ import annotations
 
 import bisect
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Light groups are bundled by hash into so many parcels a shard before they are packed.
-PARCELS = 512
-#: A group of over 1/HEAVY of all bytes is packed on its own, so that at most HEAVY are.
-HEAVY = 100_000
 #: Rows of a chunk within which one task numbers slots.
 CHUNK = 100_000
 
 
-def best_fit_decreasing(sizes: list[tuple[int, object]], capacity: int) -> tuple[dict, int]:
-    """Bins of ``capacity``: each item, largest first, goes to the fullest bin that has room.
+def best_fit_decreasing(histogram: dict[int, int], capacity: int, most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """Runs (size, count, bin): each item, largest first, goes to the fullest bin of ``capacity`` that has room.
 
-    Remaining capacities are kept in order, so the tightest bin is found by bisection. Returns
-    the bin of each key and the number of bins; an item over ``capacity`` gets a bin of its own.
+    ``histogram`` counts the items of each size; equal items that go to one bin are one run. Remaining
+    capacities are kept in order, so the tightest bin is found by bisection. An item over ``capacity`` gets
+    a bin of its own. None if more than ``most`` bins would be needed.
     """
     room: list[tuple[int, int]] = []
-    where, bins = {}, 0
-    for size, key in sorted(sizes, key=lambda x: (-x[0], str(x[1]))):
-        at = bisect.bisect_left(room, (size, -1))
-        if at < len(room):
-            left, b = room.pop(at)
-        else:
-            left, b, bins = max(capacity, size), bins, bins + 1
-        where[key] = b
-        bisect.insort(room, (left - size, b))
-    return where, bins
-
-
-def pack_into(sizes: list[tuple[int, object]], shards: int) -> dict:
-    """Shards 0..shards-1 with sizes near equal: the least capacity that best fit can fill."""
-    if not sizes:
-        return {}
-    low = max(-(-sum(s for s, _ in sizes) // shards), max(s for s, _ in sizes))
-    high, best = 2 * low, None
+    runs, bins = [], 0
+    for size in sorted(histogram, reverse=True):
+        n = histogram[size]
+        while n:
+            at = bisect.bisect_left(room, (size, -1))
+            if at < len(room):
+                left, b = room.pop(at)
+            elif most is not None and bins == most:
+                return None
+            else:
+                left, b, bins = max(capacity, size), bins, bins + 1
+            take = min(n, left // size)
+            runs.append((size, take, b))
+            bisect.insort(room, (left - take * size, b))
+            n -= take
+    return runs
+
+
+def pack_into(histogram: dict[int, int], shards: int) -> list[tuple[int, int, int]]:
+    """Runs (size, count, shard 0..shards-1) with sizes near equal: the least capacity that best fit can fill."""
+    if not histogram:
+        return []
+    low = max(-(-sum(s * n for s, n in histogram.items()) // shards), max(histogram))
+    step, best = 1, best_fit_decreasing(histogram, low, shards)
+    if best is not None:
+        return best
+    while best is None:  # low fails
+        step *= 2
+        best = best_fit_decreasing(histogram, low + step, shards)
+    low, high = low + step // 2 + 1, low + step
     while low < high:
         mid = (low + high) // 2
-        where, bins = best_fit_decreasing(sizes, mid)
-        if bins <= shards:
-            high, best = mid, where
-        else:
+        found = best_fit_decreasing(histogram, mid, shards)
+        if found is None:
             low = mid + 1
-    return best if best is not None else best_fit_decreasing(sizes, high)[0]
+        else:
+            high, best = mid, found
+    return best
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every document into one of ``shards`` shards of near equal bytes; equal texts stay together.
 
     Size: UTF-8 bytes of the text (null: 0) plus 1. Groups of equal texts are summed before any
-    shuffle; those over 1/HEAVY of all bytes and hash parcels of the light ones (a bounded number of
-    both) are packed best fit decreasing on the driver, with the least capacity that ``shards`` bins
-    hold. Columns: id, size, text_crc32, shard, slot (gapless from 0, by id). Null ids come first, null
+    shuffle. Only how many groups there are of each size matters to the packing: this histogram (different sizes
+    add up to the whole, so with b bytes it has at most the square root of 2 b rows) is packed best fit decreasing
+    on the driver, with the least capacity that ``shards`` bins hold; groups take their places by rank within
+    their size. Columns: id, size, text_crc32, shard, slot (gapless from 0, by id). Null ids come first, null
     texts are one group, repeated rows each get a slot, an empty table gives an empty result.
     """
     text = F.col(f"`{text_col}`")
@@ -66,26 +77,21 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
         F.col(f"`{id_col}`").alias(id_col),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64(text, F.octet_length(text)).alias("group"),
+        F.xxhash64(text, F.octet_length(text)).alias("__g"),
     )
     sized = materialize(sized, "sized")
-    groups = sized.groupBy("group").agg(F.sum("size").alias("bytes"))
-    groups = materialize(groups, "groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    heavy = groups.where(F.col("bytes") * HEAVY > total).select("bytes", "group").collect()  # fewer than HEAVY
-    parcels = shards * PARCELS
-    parcel = F.pmod(F.col("group"), F.lit(parcels)).cast("int")
-    light = groups.where(F.col("bytes") * HEAVY <= total).groupBy(parcel.alias("parcel")).agg(F.sum("bytes").alias("bytes")).collect()
-    where = pack_into([(r.bytes, ("g", r.group)) for r in heavy] + [(r.bytes, ("p", r.parcel)) for r in light], shards)
+    groups = materialize(sized.groupBy("__g").agg(F.sum("size").alias("__bytes")), "groups")
+    histogram = {r["__bytes"]: r["n"] for r in groups.groupBy("__bytes").agg(F.count("*").alias("n")).toLocalIterator()}
+    place: dict[int, int] = defaultdict(int)
+    rows = []
+    for size, n, b in pack_into(histogram, shards):
+        rows.append((size, place[size], place[size] + n, b))
+        place[size] += n
     spark = docs.sparkSession
-    own = spark.createDataFrame([(k[1], b) for k, b in where.items() if k[0] == "g"], "`group` long, own int")
-    rest = spark.createDataFrame([(k[1], b) for k, b in where.items() if k[0] == "p"], "parcel int, rest int")
-    placed = (
-        sized.withColumn("parcel", parcel)
-        .join(F.broadcast(own), "group", "left")  # at most HEAVY rows
-        .join(F.broadcast(rest), "parcel", "left")  # at most shards * PARCELS rows
-        .select(id_col, "size", "text_crc32", F.coalesce("own", "rest").alias("shard"))
-    )
+    places = spark.createDataFrame(rows, "__bytes long, __from long, __to long, shard int")  # a row a size, and one more where a bin is full
+    ranked = with_slots(groups, "__bytes", ["__g"]).withColumnRenamed("slot", "__rank")
+    there = ranked.join(places, "__bytes").where("__rank >= __from AND __rank < __to").select("__g", "shard")
+    placed = materialize(sized.join(there, "__g").select(id_col, "size", "text_crc32", "shard"), "placed")
     return with_slots(placed, "shard", [id_col, "text_crc32"])
 
 
