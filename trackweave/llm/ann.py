@@ -9,15 +9,17 @@ vectors equally long.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_path, materialize
 
 DEGREE, ALPHA, BEAM_BUILD, BEAM = 32, 1.2, 48, 64
-SHARD_ROWS, QUERY_ROWS = 4096, 2048
+SHARD_ROWS, QUERY_ROWS = 16_384, 16_384
 
 
 def beam_search(x: np.ndarray, sq: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +152,10 @@ def usable(vectors: DataFrame, vector_col: str, id_col: str) -> DataFrame:
     """id and vector of rows with an id and finite, not all zero components."""
     v = F.col(f"`{vector_col}`")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.cast("array<float>").alias("v"))
+    return vectors.where(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"))
 
 
-def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> Index:
     """The index over distinct vectors: shard, node (least id), v, near (positions in the shard), members, entry.
 
     Equal vectors are one node; of its ids the ``k`` + 1 least are kept, as no search for k needs more.
@@ -162,63 +164,102 @@ def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFr
     few = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)  # limited before the shuffle
     nodes = materialize(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("members")), "nodes")
     nodes = nodes.withColumn("node", F.col("members")[0])
-    n, longest, dim = nodes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))), F.max(F.size("v"))).first()
-    shards = max(1, -(-n // shard_rows))
+    # inner products exist within one length of vectors; each has its own shards
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    lengths = nodes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.sqrt(square)).alias("longest")).orderBy("dim").collect()
+    first, at, longest = {}, 0, {}
+    for r in lengths:
+        first[r["dim"]], longest[r["dim"]] = (at, max(1, -(-r["n"] // shard_rows))), r["longest"]
+        at += first[r["dim"]][1]
+    kind = dict(nodes.dtypes)["v"]
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        x = lengthened(_matrix(table["v"]), longest)
-        graph, entry = build_graph(x)
+        x = _matrix(table["v"]).astype(np.float32)
+        graph, entry = build_graph(lengthened(x, longest[x.shape[1]]))
         k = len(x)
         return table.append_column("near", pa.array(list(graph[:k].astype(np.int32)), pa.list_(pa.int32()))).append_column("pos", pa.array(np.arange(k, dtype=np.int32))).append_column("entry", pa.array(np.full(k, entry, np.int32)))
 
-    dealt = nodes.where(F.size("v") == dim).select(F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "v", "members")
-    return materialize(dealt.groupBy("shard").applyInArrow(build, "shard int, node long, v array<float>, members array<long>, near array<int>, pos int, entry int"), "index")
+    deal = _by_length(F.size("v"), first)
+    dealt = nodes.select((deal["first"] + F.pmod(F.xxhash64("node"), deal["shards"])).cast("int").alias("shard"), "node", "v", "members")
+    built = dealt.groupBy("shard").applyInArrow(build, f"shard int, node long, v {kind}, members array<long>, near array<int>, pos int, entry int")
+    path = fresh_path(nodes.sparkSession, "index")
+    built.write.partitionBy("shard").parquet(path)
+    return Index(nodes.sparkSession.read.schema(built.schema).parquet(path), path, first)
+
+
+@dataclass
+class Index:
+    """``rows`` as written to ``path``, a folder a shard; ``first``: length of vectors to (first shard, number of shards)."""
+
+    rows: DataFrame
+    path: str
+    first: dict[int, tuple[int, int]]
+
+
+def _by_length(size, first: dict[int, tuple[int, int]]):
+    pairs = [x for d, (a, n) in first.items() for x in (F.lit(d), F.struct(F.lit(a).alias("first"), F.lit(n).alias("shards")))]
+    return F.element_at(F.create_map(*pairs), size) if pairs else F.struct(F.lit(0).alias("first"), F.lit(1).alias("shards"))
+
 
+def _answers(held: tuple, q: np.ndarray, names: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
+    _, x, x32, graph, nodes, entry = held
+    out_q, out_n, out_s = [], [], []
+    none = np.zeros(len(x), np.float32)
+    for i in range(0, len(q), 512):
+        own = q[i : i + 512]
+        ids, _ = beam_search(x32, none, graph, entry, own.astype(np.float32), beam)
+        safe = np.where(ids < 0, 0, ids)
+        s = np.matmul(x[safe].astype(np.float64), own.astype(np.float64)[:, :, None])[:, :, 0]
+        s[ids < 0] = -np.inf
+        order = np.lexsort((nodes[safe], -s), axis=1)[:, : k + 1]
+        s, ids = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
+        ok = np.isfinite(s)
+        out_q.append(np.repeat(names[i : i + 512], ok.sum(axis=1)))
+        out_n.append(nodes[ids[ok]])
+        out_s.append(s[ok])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q), pa.int64()), pa.array(np.concatenate(out_n), pa.int64()), pa.array(np.concatenate(out_s))], names=["qnode", "node", "score"])
 
-def search(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(qnode, best): for each distinct query vector the k + 1 best (score, id), found by beam search in every shard.
 
-    ``queries``: qnode, q. They are dealt into blocks of about ``query_rows``, and each task meets one
-    block with one shard, so that neither grows with the input.
+def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(qnode, best): for each distinct query vector the k + 1 best (score, id), found by beam search in every shard of its length.
+
+    ``queries``: qnode, q. Those of a shard are dealt into blocks of about ``query_rows``; the task of a block
+    reads the shard's file once and streams its queries through it, so that neither grows with the input.
     """
     n = queries.count()
-    blocks = max(1, -(-n // query_rows))
-    shards = index.agg(F.max("shard")).first()[0]
-    if shards is None:
+    if not index.first or not n:
         return queries.limit(0).selectExpr("qnode", "CAST(NULL AS array<struct<s: double, id: bigint>>) AS best")
-    block = F.pmod(F.xxhash64("qnode"), F.lit(blocks)).cast("int")
-    left = index.select("shard", "node", "v", "near", "pos", "entry", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards))).alias("shard"), block.alias("block"), "qnode", "q")  # the stated query set against every shard
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out_q, out_n, out_s = [], [], []
-        if a.num_rows and b.num_rows:
-            a = a.sort_by("pos")
-            x, near = _matrix(a["v"]), _matrix(a["near"]).astype(np.int64)
-            graph = np.concatenate((near, np.full((1, near.shape[1]), len(x), np.int64)))
-            nodes, entry = a["node"].to_numpy(), int(a["entry"][0].as_py())
-            q, qn = _matrix(b["q"]), b["qnode"].to_numpy()
-            none = np.zeros(len(x), np.float32)
-            for i in range(0, len(q), 512):
-                own = q[i : i + 512]
-                ids, _ = beam_search(x, none, graph, entry, own, beam)
-                safe = np.where(ids < 0, 0, ids)
-                s = np.matmul(x[safe].astype(np.float64), own.astype(np.float64)[:, :, None])[:, :, 0]
-                s[ids < 0] = -np.inf
-                order = np.lexsort((nodes[safe], -s), axis=1)[:, : k + 1]
-                s, ids = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
-                ok = np.isfinite(s)
-                out_q.append(np.repeat(qn[i : i + 512], ok.sum(axis=1)))
-                out_n.append(nodes[ids[ok]])
-                out_s.append(s[ok])
-        cat = lambda p, t: pa.array(np.concatenate(p) if p else [], t)
-        return pa.table({"qnode": cat(out_q, pa.int64()), "node": cat(out_n, pa.int64()), "score": cat(out_s, pa.float64())})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, "qnode long, node long, score double")
+    blocks = max(1, -(-n // query_rows))
+    shards, path = sum(c for _, c in index.first.values()), index.path
+    deal = _by_length(F.size("q"), index.first)
+    # the stated query set against every shard
+    asked = queries.select("qnode", "q", F.explode(F.sequence(deal["first"], deal["first"] + deal["shards"] - 1)).alias("shard"))
+    asked = asked.repartition(shards * blocks, "shard", F.pmod(F.xxhash64("qnode"), F.lit(blocks))).sortWithinPartitions("shard")
+
+    def run(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        held = (None,)
+        for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for i, j in zip(cuts, cuts[1:]):
+                if j == i:
+                    continue
+                if held[0] != shard[i]:
+                    store, place = fs.FileSystem.from_uri(path)
+                    own = [f.path for f in store.get_file_info(fs.FileSelector(f"{place}/shard={shard[i]}")) if f.path.endswith(".parquet")]
+                    a = pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read(columns=["node", "v", "near", "pos", "entry"]) for f in own]).sort_by("pos")
+                    x, near = _matrix(a["v"]), _matrix(a["near"]).astype(np.int64)
+                    held = (shard[i], x, x.astype(np.float32), np.concatenate((near, np.full((1, near.shape[1]), len(x), np.int64))), a["node"].to_numpy(), int(a["entry"][0].as_py()))
+                yield _answers(held, _matrix(batch.column("q").slice(i, j - i)), batch.column("qnode").to_numpy()[i:j], k, beam)
+
+    found = asked.mapInArrow(run, "qnode long, node long, score double")
     first = Window.partitionBy("qnode").orderBy(F.desc("score"), "node")
     top = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
-    ids = top.join(index.select("node", "members"), "node").select("qnode", F.transform("members", lambda m: F.struct((-F.col("score")).alias("s"), m.alias("id"))).alias("m"))
+    ids = top.join(index.rows.select("node", "members"), "node").select("qnode", F.transform("members", lambda m: F.struct((-F.col("score")).alias("s"), m.alias("id"))).alias("m"))
     best = F.slice(F.array_sort(F.flatten(F.collect_list("m"))), 1, k + 1)  # of at most (k + 1) squared
     return ids.groupBy("qnode").agg(best.alias("best"))
 
@@ -228,12 +269,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
 
     Nearness is the inner product in double precision, ties go to the smaller id, and a query is not
     its own neighbour. Rows without an id, and vectors that are null, zero, or hold a null or non-finite
-    component, take no part; so do vectors shorter than the longest. Repeated rows are candidates each.
+    component, take no part. Vectors of different lengths are searched apart, as no inner product is defined between them. Repeated rows are candidates each.
     """
     rows = materialize(usable(vectors, vector_col, id_col), "vectors")
     index = build_index(rows, k, shard_rows)
     asked = rows.where(F.col("id") % every == 0)
-    nodes = index.select("v", F.col("node").alias("qnode"))
+    nodes = index.rows.select("v", F.col("node").alias("qnode"))
     queries = materialize(asked.join(nodes, "v").select(F.col("id").alias("query_id"), "qnode"), "queries")
     distinct = nodes.join(queries.select("qnode").distinct(), "qnode").select("qnode", F.col("v").alias("q"))
     best = search(index, distinct, k)
