@@ -25,17 +25,19 @@ from .common import add_columns
 
 #: Pages whose blocks the classifier is fitted to: those first by a hash of their id.
 TRAIN_PAGES = 400
-#: Edges between neighbours, and between blocks whose parent is the same element.
-NEXT, SAME_PARENT = 0.6, 1.2
+#: An edge weighs so much divided by the steps between two blocks in the tree: one to the block before, and
+#: one to the block before below the same element.
+NEAR, SAME_PARENT = 3.6, 1.2
 #: Cost of keeping a block below a class or id that names another role; log odds go to 4, so that they can outweigh it.
 NAMED = 3.0
 
 # Element and class names with a role (fixed values).
 _RAW = frozenset(("script", "style", "textarea", "title"))
-_EMBED = frozenset(("noscript", "template", "svg", "iframe", "select", "option", "button", "canvas", "object", "math"))
+_EMBED = frozenset(("noscript", "template", "svg", "iframe", "select", "option", "button", "canvas", "object"))
 _DROP = frozenset(("form", "head")) | _EMBED
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
-_INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr"))
+_INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "math", "mi", "mn", "mo", "mrow", "mtext", "msub", "msup", "msubsup", "mfrac", "msqrt", "mover", "munder", "semantics"))
+_IN_HEAD = frozenset(("head", "meta", "link", "base", "title", "style", "script", "noscript", "template"))
 _BAD_TAG = frozenset(("nav", "header", "footer", "aside", "menu", "dialog"))
 _GOOD_TAG = frozenset(("article", "main"))
 _BAD_NAME = re.compile(r"(?:^|[\s_-])(?:nav|navbar|menu|header|footer|sidebar|side|ad|ads|advert\w*|banner|promo|sponsor\w*|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|comment|comments|disqus|reply|replies|breadcrumb\w*|pagination|pager|login|search|toolbar|widget|copyright|legal|disclaimer)(?=$|[\s_-])", re.I)
@@ -57,7 +59,7 @@ class Block:
     parent: int  # number of that element's parent
     hint: int  # of the ancestors that name a role: 1 main text, -1 another role by class or id, -2 by element, role or hidden
     links: int  # characters within links
-    depth: int
+    path: tuple[int, ...]  # numbers of the elements above it, outermost first
     place: float = 0.0
 
 
@@ -110,7 +112,7 @@ def blocks_of(page: str) -> list[Block]:
                 while k > 0 and stack[k][0] in _INLINE:
                     k -= 1
                 tag, _, hint = stack[k]
-                out.append(Block(text, tag, stack[max(0, k - 1)][1], hint, min(links, len(text)), k))
+                out.append(Block(text, tag, stack[max(0, k - 1)][1], hint, min(links, len(text)), tuple(x[1] for x in stack[1:k])))
             parts.clear()
         links = 0
 
@@ -138,6 +140,11 @@ def blocks_of(page: str) -> list[Block]:
             if tag != "textarea" and not dropped:
                 close()
             continue
+        if dropped and tag not in _IN_HEAD and not closing:
+            k = next((k for k, x in enumerate(stack) if x[0] == "head"), 0)
+            if k and stack[-1][0] == "head":  # what cannot stand in a head ends it
+                dropped -= sum(x[0] in _DROP for x in stack[k:])
+                del stack[k:]
         if tag == "br" or tag == "hr":
             if tag == "hr" and not dropped:
                 close()
@@ -152,7 +159,7 @@ def blocks_of(page: str) -> list[Block]:
                     link_depth -= gone[0] == "a"
                     dropped -= gone[0] in _DROP
                 del stack[k:]
-        if tag not in _INLINE and tag not in ("option", "button", "math") and not dropped:
+        if tag not in _INLINE and tag not in ("option", "button") and not dropped:
             close()
         if closing:
             k = len(stack) - 1
@@ -288,6 +295,12 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
                 u = to[path.pop() ^ 1]
 
 
+def distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    """Steps in the tree from one block to another, whose elements lie below ``a`` and ``b``."""
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return len(a) + len(b) - 2 * same + 2
+
+
 def label(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     """True: content. The classifier's log odds, a strong cost for roles by element, a moderate one for roles by name."""
     if not blocks:
@@ -300,9 +313,9 @@ def label(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i and (blocks[i - 1].hint == -2) == (b.hint == -2):
-            edges.append((i - 1, i, NEXT))
+            edges.append((i - 1, i, NEAR / distance(blocks[i - 1].path, b.path)))
         j = last.get(b.parent)
-        if j is not None and (blocks[j].hint == -2) == (b.hint == -2):
+        if j is not None and j < i - 1 and (blocks[j].hint == -2) == (b.hint == -2):
             edges.append((j, i, SAME_PARENT))
         last[b.parent] = i
     return minimum_cut(keep.tolist(), drop.tolist(), edges)
