@@ -275,9 +275,44 @@ def test_sharding(docs, plain):
     assert sharding.shard_documents(none(docs)).count() == 0
 
 
-def test_best_fit_decreasing():
-    where, bins = sharding.best_fit_decreasing([(6, "a"), (5, "b"), (5, "c"), (4, "d")], 10)
-    assert bins == 2 and where["a"] == where["d"] and where["b"] == where["c"]
+def plain_best_fit_decreasing(sizes, capacity):
+    room, where = [], []
+    for size in sorted(sizes, reverse=True):
+        fits = [b for b, left in enumerate(room) if left >= size]
+        if fits:
+            b = min(fits, key=lambda b: (room[b], b))
+        else:
+            b = len(room)
+            room.append(max(capacity, size))
+        room[b] -= size
+        where.append((size, b))
+    return where
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_decreasing(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, [3, 12, 60, 200, 400, 90][seed], 300).tolist()
+    for capacity in (100, 217, 1000):
+        runs = sharding.best_fit_decreasing(dict(Counter(sizes)), capacity)
+        got = sorted((s, b) for s, n, b in runs for _ in range(n))
+        want = sorted(plain_best_fit_decreasing(sizes, capacity))
+        assert got == want
+
+
+def test_shards_take_the_least_capacity_that_best_fit_fills():
+    rng = np.random.default_rng(9)
+    for shards in (2, 5, 16):
+        sizes = rng.integers(1, 50, 80).tolist()
+        runs = sharding.pack_into(dict(Counter(sizes)), shards)
+        assert Counter({s: 0 for s in sizes}) + sum((Counter({s: n}) for s, n, _ in runs), Counter()) == Counter(sizes)
+        load = Counter()
+        for s, n, b in runs:
+            load[b] += s * n
+        capacity = max(load.values())
+        assert max(load) < shards and len({b for _, b in plain_best_fit_decreasing(sizes, max(capacity - 1, max(sizes)))}) >= min(shards, len(load))
+    assert sharding.pack_into({}, 16) == []
+    assert sharding.best_fit_decreasing({6: 1, 5: 2, 4: 1}, 10) == [(6, 1, 0), (5, 2, 1), (4, 1, 0)]
 
 
 # 6
@@ -452,3 +487,58 @@ def test_packing_takes_most_bins_from_configurations():
     demand = [sum(n for _, n in members) for _, members in grouped]
     found = sum(int(x + 1e-9) for _, x in packing.configurations([top for top, _ in grouped], demand, 1024))
     assert found > 0.9 * packing.number(packing.pack_histogram(dict(histogram), 1024))
+
+
+def test_chains_in_blocks_equal_plain_recursion(monkeypatch):
+    rng = np.random.default_rng(2)
+    lengths = np.array([0, 1, 5, 64, 65, 63, 700, 0, 128, 3])
+    scores, trans = rng.normal(0, 3, lengths.sum()), rng.normal(0, 1, (2, 2))
+    monkeypatch.setattr(toxicity, "BLOCK", 10_000)
+    whole = toxicity.messages(scores, lengths, trans)
+    for block in (1, 2, 7, 64):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        assert all(np.allclose(a, b) for a, b in zip(whole, toxicity.messages(scores, lengths, trans)))
+    monkeypatch.undo()
+    import time
+
+    start = time.process_time()
+    toxicity.messages(rng.normal(0, 1, 1_000_000), np.array([1_000_000]), trans)
+    assert time.process_time() - start < 5
+
+
+def test_fingerprint_of_long_texts_by_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["A", "bb", "cé", "d"], n)) + e for n in (0, 1, 2, 3, 4, 50, 400) for e in ("", " \n")]
+    want = simhash.fingerprints(texts).tolist(), [simhash.shingle_hashes(t) for t in texts]
+    for part in (1, 5, 64):
+        monkeypatch.setattr(simhash, "PART", part)
+        assert (simhash.fingerprints(texts).tolist(), [simhash.shingle_hashes(t) for t in texts]) == want
+
+
+def test_nearest_of_vectors_in_double_precision_and_of_two_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4 if i % 3 else 6)], "extra") for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = {}
+    for r in ann.nearest(df, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hit = 0
+    for q in range(0, 300, 20):
+        v = np.array(rows[q][1])
+        score = lambda i: float(v @ np.array(rows[i][1]))
+        want = sorted((-score(i), i) for i in range(300) if i != q and len(rows[i][1]) == len(v))[:5]
+        hit += len({i for _, i in want} & {i for i, _ in got[q]})
+        assert all(abs(s - score(i)) < 1e-12 for i, s in got[q]) and len(got[q]) == 5
+    assert hit >= 0.95 * 75
+
+
+def test_pages_with_open_heads_formulas_and_distance():
+    w = extract.fit(np.zeros((0, 13)), np.zeros(0))
+    body = "<article><p>" + "A long enough sentence of an article. " * 4 + "</p></article>"
+    page = "<html><head><meta charset=x><title>no</title>" + body
+    assert extract.main_text(page, w).startswith("A long enough")
+    page = "<html><head><title>no</title><body class=x>" + body
+    assert extract.main_text(page, w).startswith("A long enough")
+    formula = body.replace("article. ", "article <math><mi>x</mi><mo>=</mo><mn>2</mn></math>. ", 1)
+    assert "article x=2." in extract.main_text(formula, w)
+    assert extract.distance((1, 2), (1, 2)) == 2 and extract.distance((1, 2), (1, 3)) == 4 and extract.distance((), (1, 3)) == 4
