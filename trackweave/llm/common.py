@@ -37,6 +37,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that are worked on at a time.
+SLICE = 1 << 23
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE):
+    """Parts of ``batch`` of about ``most`` bytes by the mean of its rows."""
+    rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def add_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -61,7 +72,7 @@ def add_columns(
 
     def run(batches):
         fn = factory()
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole)):
             if batch.num_rows:
                 made = fn(*[batch.column(i) for i in at])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:k], *made], names=[*passed, *[f.name for f in new]])

@@ -21,7 +21,7 @@ import pyarrow as pa
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pieces that a worker keeps; beyond, those met again since the last time stay.
-MEMO = 2_000_000
+MEMO = 1_200_000
 #: Bytes of text cut at a time, and bytes of a piece up to which it is worth a place in the memo.
 WINDOW = 1 << 21
 LONGEST = 23
