@@ -111,12 +111,29 @@ def smooth_gaps(rows: DataFrame, params: list[tuple[float, float, float]]) -> Da
 
 def path_position(along: Column, across: Column) -> tuple[Column, Column]:
     """Latitude and longitude of a place along and across the great circle between the columns ``lat0`` .. ``lon1``."""
-    ends = [F.col(c) for c in ENDS]
-    total = F.greatest(geo.haversine_m(*ends), F.lit(1.0))
     clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    tau, eps = clip(along / total), F.least(F.lit(0.01), 10_000.0 / total)
-    course = geo.bearing_deg(*geo.great_circle(*ends, clip(tau - eps)), *geo.great_circle(*ends, clip(tau + eps)))
-    return geo.destination(*geo.great_circle(*ends, tau), course + F.when(across >= 0, 90.0).otherwise(-90.0), F.abs(across))
+    point = lambda p: F.struct(p[0].alias("lat"), p[1].alias("lon"))
+
+    def share(s):
+        total = F.greatest(geo.haversine_m(*(s[c] for c in ENDS)), F.lit(1.0))
+        return F.struct(s.alias("s"), clip(s["along"] / total).alias("tau"), F.least(F.lit(0.01), 10_000.0 / total).alias("eps"))
+
+    def points(x):
+        ends = [x["s"][c] for c in ENDS]
+        at = {"here": x["tau"], "before": clip(x["tau"] - x["eps"]), "after": clip(x["tau"] + x["eps"])}
+        return F.struct(x["s"]["across"].alias("across"), *[geo.great_circle_point(*ends, t).alias(name) for name, t in at.items()])
+
+    def course(x):
+        own = geo.bearing_deg(x["before"]["lat"], x["before"]["lon"], x["after"]["lat"], x["after"]["lon"])
+        return F.struct(x["here"].alias("here"), x["across"].alias("across"), (own + F.when(x["across"] >= 0, 90.0).otherwise(-90.0)).alias("course"))
+
+    def of(step):
+        return lambda s: step(s["s"])
+
+    place = F.struct(*[F.col(c).alias(c) for c in ENDS], along.alias("along"), across.alias("across"))
+    for step in (share, points, course, lambda x: point(geo.destination(x["here"]["lat"], x["here"]["lon"], x["course"], F.abs(x["across"])))):
+        place = geo.let(of(step), s=place)
+    return place["lat"], place["lon"]
 
 
 def positions(smoothed: DataFrame, ends: DataFrame) -> DataFrame:
