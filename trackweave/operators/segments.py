@@ -48,8 +48,16 @@ def range_screen(segments: DataFrame, dense: DataFrame, context: int, bucket: in
 
 
 def overlapping(segments: DataFrame, flights: DataFrame) -> DataFrame:
-    """Segments and flights of one key whose intervals overlap; both bounds are strict."""
-    return segments.join(flights, "icao24").where((F.col("f0") < F.col("s1")) & (F.col("f1") > F.col("s0")))
+    """Segments and flights of one key whose intervals overlap; both bounds are strict.
+
+    Both are dealt into the days that they touch, and a pair is kept in its first common day only: no key
+    is gathered whole, and intervals far apart never meet.
+    """
+    day = lambda c: F.floor(F.col(c) / (24 * HOUR))
+    left = segments.withColumn("__cell", F.explode(F.sequence(day("s0"), day("s1"))))
+    right = flights.withColumn("__cell", F.explode(F.sequence(day("f0"), day("f1"))))
+    both = left.join(right, ["icao24", "__cell"]).where((F.col("f0") < F.col("s1")) & (F.col("f1") > F.col("s0")))
+    return both.where(F.col("__cell") == F.greatest(day("s0"), day("f0"))).drop("__cell")
 
 
 def exactly_one(segments: DataFrame, flights: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import segments as S
 from ..operators import tracks as K
+from ..operators.ranges import points_within
 from ..sources.reports import PROJECTION, flights, points
 
 HOUR = 3_600_000_000
@@ -176,8 +177,7 @@ def partition_days(spark, d):
 
 @query(f"SELECT a.event_id, s.segment_id, CASE WHEN a.t < s.s0 THEN 'before' WHEN a.t <= s.s1 THEN 'during' ELSE 'after' END AS phase FROM seg s JOIN adsb a ON a.icao24 = s.icao24 AND a.t >= s.s0 - {CONTEXT} AND a.t < s.s1 + {CONTEXT}")
 def phase_partition(spark, d):
-    a = points(spark, d, "adsb").select("icao24", "event_id", "t")
-    j = _seg(spark, d).join(a, "icao24").where((F.col("t") >= F.col("s0") - CONTEXT) & (F.col("t") < F.col("s1") + CONTEXT))
+    j = points_within(_seg(spark, d), points(spark, d, "adsb"), F.col("s0") - CONTEXT, F.col("s1") + CONTEXT, ["event_id", "t"])
     return j.select("event_id", "segment_id", F.when(F.col("t") < F.col("s0"), "before").when(F.col("t") <= F.col("s1"), "during").otherwise("after").alias("phase"))
 
 
