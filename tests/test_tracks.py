@@ -6,7 +6,7 @@ import pytest
 from trackweave.functions import geo
 from trackweave.operators import segments as S
 from trackweave.operators import tracks as K
-from trackweave.plans import catalog, reconstruct  # noqa: F401  register their queries
+from trackweave.plans import audits, catalog, reconstruct, sections  # noqa: F401  register their queries
 from trackweave.plans import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events".split()

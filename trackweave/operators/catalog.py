@@ -27,6 +27,50 @@ def rank_runs(rows: DataFrame, key: list[str], counts: list[str], tie: str) -> D
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(size.desc(), tie)))
 
 
+def rank_master(rows: DataFrame) -> DataFrame:
+    """``duplicate_rank`` within a dedup_key (1: master), and whether the key has several rows.
+
+    Listed in the summary first, then with metadata, then by run, then most rows, then by segment (null counts are zero).
+    """
+    size = sum((F.coalesce(c, F.lit(0)) for c in ("adsc_rows", "adsb_before_rows", "adsb_after_rows", "stitched_rows")), F.lit(0))
+    w = Window.partitionBy("dedup_key")
+    order = [F.desc("summary_present"), F.desc("metadata_present"), F.asc_nulls_last("source_run"), size.desc(), F.asc("segment_id")]
+    return rows.withColumn("duplicate_rank", F.row_number().over(w.orderBy(*order))).withColumn("is_master_record", F.col("duplicate_rank") == 1).withColumn("is_duplicate", F.count("*").over(w) > 1)
+
+
+# Fixed values.
+REQUIRED_FILES = ["adsc.parquet", "adsb_before.parquet", "adsb_after.parquet", "stitched_minimal.parquet", "metadata.json"]
+COUNTED = ["adsc", "adsb_before", "adsb_after", "stitched"]
+
+
+def run_audit(runs: DataFrame, saved: DataFrame, summary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Saved segments of all runs with what is known of them, and the issues of runs and segments.
+
+    ``runs`` (source_run, has_flights); ``saved`` (source_run, segment_id, files, metadata_segment_id, metadata_error,
+    metadata_is_valid and the four ``*_rows``, null where unread); ``summary`` (source_run, segment_id). A segment
+    counts as valid if all files are there, the metadata is read and valid, and no part is empty.
+    """
+    key = ["source_run", "segment_id"]
+    listed = summary.where("segment_id IS NOT NULL").select(*key).distinct()
+    lost = F.array_except(F.array(*map(F.lit, REQUIRED_FILES)), F.coalesce("files", F.array().cast("array<string>")))
+    a = saved.join(listed.withColumn("summary_present", F.lit(True)), key, "left").fillna(False, ["summary_present"])
+    a = a.withColumn("metadata_present", F.col("metadata_error").isNull()).withColumn("missing_required_files", F.array_join(lost, ", "))
+    full = F.lit(True)
+    for c in COUNTED:
+        full = full & F.coalesce(F.col(f"{c}_rows") > 0, F.lit(False))
+    a = a.withColumn("valid_saved_folder", (F.col("missing_required_files") == "") & F.col("metadata_present") & F.coalesce("metadata_is_valid", F.lit(False)) & full)
+    found = [
+        (~F.col("summary_present"), "saved_folder_missing_from_summary", F.col("segment_id")), (F.col("missing_required_files") != "", "missing_required_files", F.col("missing_required_files")),
+        (~F.col("metadata_present"), "metadata_read_error", F.col("metadata_error")),
+        (F.col("metadata_present") & ~F.col("metadata_segment_id").eqNullSafe(F.col("segment_id")), "metadata_segment_id_mismatch", F.concat(F.lit("metadata_segment_id="), F.coalesce("metadata_segment_id", F.lit("None")))),
+    ] + [(F.col(f"{c}_rows") <= 0, f"empty_{c}_file", F.concat(F.lit(f"{c}_rows="), F.col(f"{c}_rows"))) for c in COUNTED]
+    rows = F.array(*[F.when(up, F.struct(F.lit(name).alias("issue_type"), text.alias("details"))) for up, name, text in found])
+    issues = a.select(*key, F.explode(F.array_compact(rows)).alias("i")).select(*key, "i.*")
+    gone = listed.join(saved.select(*key), key, "left_anti").select(*key, F.lit("summary_row_missing_saved_folder").alias("issue_type"), F.col("source_run").alias("details"))
+    bare = runs.where(~F.col("has_flights")).select("source_run", F.lit(None).cast("string").alias("segment_id"), F.lit("missing_flights_directory").alias("issue_type"), F.col("source_run").alias("details"))
+    return a, issues.unionByName(gone).unionByName(bare)
+
+
 def integrity_issues(summary: DataFrame, saved: DataFrame) -> DataFrame:
     """(segment_id, issue) where a summary and the saved segments differ, or a saved part is empty."""
     j = summary.select("segment_id", F.lit(True).alias("listed")).join(saved.select("segment_id", "n_before", "n_after", F.lit(True).alias("saved")), "segment_id", "full")

@@ -55,3 +55,11 @@ def two_methods(points: DataFrame) -> DataFrame:
     hold = geo.haversine_m(*map(F.col, ("latitude", "longitude", "lat0", "lon0")))
     e = points.groupBy("segment_id").agg((F.avg("error_m") / 1000).alias("base_km"), (F.avg(hold) / 1000).alias("hold_km"))
     return e.withColumn("best", F.when(F.col("hold_km") < F.col("base_km"), "hold").otherwise("baseline"))
+
+
+def monthly_errors(flights: DataFrame, error: str, base: str) -> DataFrame:
+    """By ``month``: mean and median of both errors and of the gain in per cent; a null month is left out."""
+    gain = (1 - F.col(error) / F.greatest(F.col(base), F.lit(0.01))) * 100
+    both = lambda c, n: [F.avg(c).alias(f"{n}mean_km"), F.median(c).alias(f"{n}median_km")]
+    x = flights.where("month IS NOT NULL").withColumn("__gain", gain)
+    return x.groupBy("month").agg(F.count("segment_id").alias("n_flights"), *both(error, ""), *both(base, "bl_"), F.avg("__gain").alias("improvement_mean"), F.median("__gain").alias("improvement_median"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .ranges import points_within
 
 HOUR = 3_600_000_000
 
@@ -72,22 +73,43 @@ def prefilter(segments: DataFrame, points: DataFrame, minutes: float, metres: fl
     return far.join(inside, ["icao24", "seq"], "left_semi")
 
 
-def speeds(points: DataFrame, keys: list[str]) -> DataFrame:
+def speeds(points: DataFrame, keys: list[str], radius: float = geo.RADIUS_M) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("t", "event_id")
     p = F.lag(F.struct("latitude", "longitude", "t")).over(w)
-    d = geo.haversine_m(p["latitude"], p["longitude"], F.col("latitude"), F.col("longitude"))
+    d = geo.haversine_m(p["latitude"], p["longitude"], F.col("latitude"), F.col("longitude"), radius)
     return points.withColumn("step_m", d).withColumn("speed_kt", geo.speed_kt(d, (F.col("t") - p["t"]) / 1e6))
 
 
-def validate(screened: DataFrame, n_flights: DataFrame, profile: DataFrame, cap_kt: float) -> DataFrame:
-    """Sorted reasons against each segment; none: valid."""
+def boundary_speeds(segments: DataFrame, dense: DataFrame, context: int, radius: float = geo.RADIUS_M) -> DataFrame:
+    """Speeds from the last dense point before a segment to its first, and from its last to the first dense point after it."""
+    hit = points_within(segments.select("segment_id", "icao24", "s0", "s1", "lat0", "lon0", "lat1", "lon1"), dense, F.col("s0") - context, F.col("s1") + context, ["event_id", "t", "latitude", "longitude"])
+    p = F.struct("t", "event_id", "latitude", "longitude")
+    e = hit.groupBy("segment_id", "s0", "s1", "lat0", "lon0", "lat1", "lon1").agg(F.max(F.when(F.col("t") < F.col("s0"), p)).alias("a"), F.min(F.when(F.col("t") > F.col("s1"), p)).alias("b"))
+    to = geo.speed_kt(geo.haversine_m(F.col("a.latitude"), F.col("a.longitude"), F.col("lat0"), F.col("lon0"), radius), (F.col("s0") - F.col("a.t")) / 1e6)
+    off = geo.speed_kt(geo.haversine_m(F.col("lat1"), F.col("lon1"), F.col("b.latitude"), F.col("b.longitude"), radius), (F.col("b.t") - F.col("s1")) / 1e6)
+    return e.select("segment_id", to.alias("before_kt"), off.alias("after_kt"))
+
+
+def validate(screened: DataFrame, n_flights: DataFrame, profile: DataFrame, cap_kt: float, edges: DataFrame | None = None, edge_cap_kt: float = 750.0) -> DataFrame:
+    """Sorted reasons against each segment; none: valid.
+
+    With ``edges`` (segment_id, before_kt, after_kt) the speeds at the boundaries count too, where there are dense points
+    and an unknown one is unreasonable; with ``flight_icao24`` in ``n_flights`` the code of the first flight must be the
+    segment's, in any case of letters.
+    """
     j = screened.join(n_flights, ["icao24", "seq"], "left").join(profile, ["icao24", "seq"], "left").fillna(0, ["n_flights"])
     why = [
         (F.col("n_flights") == 0, "no_overlapping_flight"), (F.col("n_flights") > 1, "multiple_overlapping_flights"), (F.col("n_before") == 0, "missing_adsb_before"),
         (F.col("n_during") > 0, "adsb_present_during_gap"), (F.col("n_after") == 0, "missing_adsb_after"), (F.col("max_kt").isNull(), "insufficient_adsc_points"), (F.col("max_kt") > cap_kt, "internal_adsc_speed_unreasonable"),
     ]
+    extra = []
+    if "flight_icao24" in n_flights.columns:
+        why.append(((F.col("n_flights") > 0) & (F.lower("flight_icao24") != F.lower("icao24")), "icao24_mismatch"))
+    if edges is not None:
+        j, extra = j.join(edges, "segment_id", "left"), ["before_kt", "after_kt", *[c for c in ("max_kt", "median_kt") if c in profile.columns]]
+        why += [((F.col(f"n_{s}") > 0) & (F.col(f"{s}_kt").isNull() | (F.col(f"{s}_kt") > edge_cap_kt)), f"boundary_speed_{s}_unreasonable") for s in ("before", "after")]
     reasons = F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in why])))
-    return j.select("segment_id", "icao24", "seq", F.array_join(reasons, ";").alias("reasons"), (F.size(reasons) == 0).alias("is_valid"))
+    return j.select("segment_id", "icao24", "seq", F.array_join(reasons, ";").alias("reasons"), (F.size(reasons) == 0).alias("is_valid"), *extra)
 
 
 def merge_windows(windows: DataFrame, key: str = "icao24") -> DataFrame:

@@ -23,34 +23,49 @@ def clean(points: DataFrame, keys: list[str]) -> DataFrame:
     return keep_first(ok, [*keys, "t"], ["event_id"])
 
 
-def drop_spikes(points: DataFrame, keys: list[str], cap_kt: float) -> DataFrame:
+def drop_spikes(points: DataFrame, keys: list[str], cap_kt: float | dict[str, float], tie: str = "event_id", radius: float = geo.RADIUS_M) -> DataFrame:
     """Without isolated spikes: points too fast to reach and to leave while their neighbours fit each other.
 
-    A stack of kept points is enough: while its top is a spike between the one below and the next, it goes.
+    A stack of kept points is enough: while its top is a spike between the one below and the next, it goes. A track
+    in which no point is a spike between its own neighbours cannot lose any, so that only the others meet in a task.
+    ``cap_kt`` may give a cap for each value of the last key; tracks of other values stay as they are.
     """
 
     def metres(a, b):
         la, lb = np.radians(a[1]), np.radians(b[1])
         h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin(np.radians(b[2] - a[2]) / 2) ** 2
-        return 2 * geo.RADIUS_M * np.arcsin(np.sqrt(min(1.0, max(0.0, h))))
+        return 2 * radius * np.arcsin(np.sqrt(min(1.0, max(0.0, h))))
 
     def knots(a, b):
         dt = (b[0] - a[0]) / 1e6
         return metres(a, b) / 1000 * geo.KM_TO_NM / (dt / 3600) if dt > 0 else None
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t", "event_id"])
+        group = group.sort_values(["t", tie])
+        cap = cap_kt[group[keys[-1]].iloc[0]] if isinstance(cap_kt, dict) else cap_kt
         kept: list[tuple] = []
         for row in zip(group["t"], group["latitude"], group["longitude"], range(len(group))):
             while len(kept) >= 2:
                 s = knots(kept[-2], kept[-1]), knots(kept[-1], row), knots(kept[-2], row)
-                if None in s or not (s[0] > cap_kt and s[1] > cap_kt and s[2] <= cap_kt):
+                if None in s or not (s[0] > cap and s[1] > cap and s[2] <= cap):
                     break
                 kept.pop()
             kept.append(row)
         return group.iloc[[k[3] for k in kept]]
 
-    return points.groupBy(*keys).applyInPandas(one, points.schema)
+    w = Window.partitionBy(*keys).orderBy("t", tie)
+    here = F.struct("t", "latitude", "longitude")
+    a, b = F.lag(here).over(w), F.lead(here).over(w)
+
+    def kt(p, q):
+        return geo.speed_kt(geo.haversine_m(p["latitude"], p["longitude"], q["latitude"], q["longitude"], radius), (q["t"] - p["t"]) / 1e6)
+
+    # by a little more than the cap both ways, so that rounding in another engine cannot hide a spike
+    caps = F.create_map(*[F.lit(x) for c in cap_kt.items() for x in c])[F.col(keys[-1])] if isinstance(cap_kt, dict) else F.lit(float(cap_kt))
+    legs = points.select(*keys, caps.alias("cap"), kt(a, here).alias("to"), kt(here, b).alias("off"), kt(a, b).alias("past"))
+    some = legs.where("to > cap * 0.999999 AND off > cap * 0.999999 AND past <= cap * 1.000001").select(*keys).distinct()
+    rest = points.join(some, keys, "left_anti")
+    return rest.select(*points.columns).unionByName(points.join(some, keys, "left_semi").select(*points.columns).groupBy(*keys).applyInPandas(one, points.schema))
 
 
 def _fill(df: DataFrame, keys: list[str], value: str, time: str = "t") -> Column:
