@@ -27,12 +27,12 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def write_twins(df: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Write ``df`` as Parquet and as CSV below ``path`` and read both; in CSV a null is an empty field, a text is quoted."""
+    r"""Write ``df`` as Parquet and as CSV below ``path`` and read both. CSV has ``\N`` for null, so that an empty text stays one."""
+    form = {"header": True, "nullValue": "\\N", "escape": '"'}
     df.write.mode("overwrite").parquet(f"{path}/parquet")
-    df.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", '""').option("escape", '"').csv(f"{path}/csv")
+    df.write.mode("overwrite").options(**form).csv(f"{path}/csv")
     spark = df.sparkSession
-    csv = spark.read.schema(df.schema).option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').option("multiLine", True)
-    return spark.read.schema(df.schema).parquet(f"{path}/parquet"), csv.csv(f"{path}/csv")
+    return spark.read.schema(df.schema).parquet(f"{path}/parquet"), spark.read.schema(df.schema).options(**form, multiLine=True).csv(f"{path}/csv")
 
 
 def overwrite_parts(df: DataFrame, path: str, by: list[str]) -> DataFrame:
