@@ -469,6 +469,36 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in cp.run(spark, sf_dir).collect()} == {r.doc_id for r in before.collect()}
 
 
+def test_packing_ends_after_python_workers_have_run(spark):
+    """Over 200 steps of column generation, where the basis is inverted anew, in a process that has run Python workers."""
+    spark.range(1000).mapInArrow(lambda batches: batches, "id long").count()
+    rng = np.random.default_rng(4)
+    histogram = Counter(int(x) for x in np.clip(rng.normal(420, 60, 8000), 1, 1024))
+    steps = []
+    real = packing.inverted
+    packing.inverted = lambda m: steps.append(1) or real(m)
+    try:
+        bins = packing.pack_histogram(histogram, 1024, 256)
+    finally:
+        packing.inverted = real
+    assert steps
+    placed = Counter()
+    for lengths, m in bins:
+        assert sum(lengths) <= 1024
+        for x in lengths:
+            placed[x] += m
+    assert placed == histogram
+
+
+def test_long_texts_of_failed_numbers_and_deep_pages():
+    spans = pii.candidates("123456789012345, " * 300_000)
+    assert len(spans) == 300_000 and all(not strict for *_, strict in spans)
+    deep = "<article>" + "<div>Some words of it. " * 50_000
+    assert extract.main_text(deep, extract.fit(np.zeros((0, 13)), np.zeros(0))).count("Some words") == 50_000
+    assert extract.blocks_of("<article><header><h1>Title</h1></header><p>Text.</p></article>")[0].hint == 1
+    assert extract.blocks_of("<body><header><h1>Site</h1></header><p>Text.</p></body>")[0].hint == -2
+
+
 def test_packing_is_no_worse_than_best_fit_decreasing():
     rng = np.random.default_rng(3)
     cases = [rng.integers(1, 1024, 8000), np.clip(rng.normal(420, 60, 8000).astype(int), 1, 1023), np.clip(rng.lognormal(5.5, 1, 8000).astype(int), 1, 1023), rng.integers(300, 360, 500), np.array([513] * 7 + [511] * 7 + [1])]
@@ -541,4 +571,5 @@ def test_pages_with_open_heads_formulas_and_distance():
     assert extract.main_text(page, w).startswith("A long enough")
     formula = body.replace("article. ", "article <math><mi>x</mi><mo>=</mo><mn>2</mn></math>. ", 1)
     assert "article x=2." in extract.main_text(formula, w)
-    assert extract.distance((1, 2), (1, 2)) == 2 and extract.distance((1, 2), (1, 3)) == 4 and extract.distance((), (1, 3)) == 4
+    steps = [b.steps for b in extract.blocks_of("<div><p>a</p><p>b</p></div><section><div><p>c</p></div></section>d")]
+    assert steps[1:] == [2, 5, 4]

@@ -47,6 +47,7 @@ _ROLE = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1,
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in _RAW}
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 _P_CLOSERS = frozenset("p div ul ol dl table article section main aside nav header footer form blockquote pre h1 h2 h3 h4 h5 h6 hr address figure".split())
@@ -59,7 +60,7 @@ class Block:
     parent: int  # number of that element's parent
     hint: int  # of the ancestors that name a role: 1 main text, -1 another role by class or id, -2 by element, role or hidden
     links: int  # characters within links
-    path: tuple[int, ...]  # numbers of the elements above it, outermost first
+    steps: int  # in the tree, to the block before
     place: float = 0.0
 
 
@@ -95,34 +96,90 @@ def _inherited(tag: str, own: int, up: int) -> int:
     return own or up
 
 
+class _Open:
+    """The open elements of a page, each with its number, hint, nearest block element and count of block elements.
+
+    Where an element of a name is open is kept by name, so that no step looks through the whole of a deep page.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]  # name, number, hint, place of the nearest block, blocks so far
+        self.at: dict[str, list[int]] = {}
+        self.up, self.depth = [0], [0]  # by number
+        self.links = self.dropped = self.foreign = 0
+
+    def push(self, tag: str, own: int) -> None:
+        k, top = len(self.stack), self.stack[-1]
+        inline = tag in _INLINE
+        self.up.append(top[1])
+        self.depth.append(k)
+        hint = top[2] if own == 0 or (tag == "header" and self.good()) else _inherited(tag, own, top[2])
+        self.stack.append((tag, len(self.up) - 1, hint, top[3] if inline else k, top[4] + (not inline)))
+        self.at.setdefault(tag, []).append(k)
+        self._count(tag, 1)
+
+    def good(self) -> bool:
+        return any(self.at.get(tag) for tag in _GOOD_TAG)
+
+    def find(self, tag: str) -> int:
+        own = self.at.get(tag)
+        return own[-1] if own else 0
+
+    def cut(self, k: int) -> None:
+        """Close the element at ``k`` and all within it."""
+        for gone in self.stack[k:]:
+            self.at[gone[0]].pop()
+            self._count(gone[0], -1)
+        del self.stack[k:]
+
+    def _count(self, tag: str, n: int) -> None:
+        self.links += n * (tag == "a")
+        self.dropped += n * (tag in _DROP)
+        self.foreign += n * (tag in ("svg", "math"))
+
+    def steps(self, a: int, b: int) -> int:
+        """In the tree between what two elements hold."""
+        n = 2
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a, n = self.up[a], n + 1
+        return n
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order; scripts, styles, forms, comments and the head are left out."""
     out: list[Block] = []
-    # (tag, number, hint, inside a bad element)
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    tree = _Open()
+    stack = tree.stack
     parts: list[str] = []
-    number = links = link_depth = dropped = at = 0
+    ended: dict[str, int] = {}  # the last end of an element in the page
+    links = at = before = 0
 
     def close():
-        nonlocal links
+        nonlocal links, before
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                k = len(stack) - 1
-                while k > 0 and stack[k][0] in _INLINE:
-                    k -= 1
-                tag, _, hint = stack[k]
-                out.append(Block(text, tag, stack[max(0, k - 1)][1], hint, min(links, len(text)), tuple(x[1] for x in stack[1:k])))
+                k = stack[-1][3]
+                above = stack[max(0, k - 1)][1]
+                out.append(Block(text, stack[k][0], above, stack[k][2], min(links, len(text)), tree.steps(before, above)))
+                before = above
             parts.clear()
         links = 0
 
+    def ends_after(tag: str, place: int) -> bool:
+        if tag not in ended:
+            ended[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+        return ended[tag] >= place
+
     n, search = len(page), _PART.search
     while True:
         m = search(page, at)
         chunk = page[at : m.start() if m else n]
-        if chunk and not dropped:
+        if chunk and not tree.dropped:
             parts.append(chunk)
-            if link_depth:
+            if tree.links:
                 links += len(chunk)
         if not m:
             break
@@ -131,66 +188,42 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None:
             continue
         tag, closing = tag.lower(), bool(m.group(1))
-        foreign = tag in ("svg", "math") or (dropped and any(x[0] in ("svg", "math") for x in stack))
+        foreign = tag in ("svg", "math") or (tree.dropped and tree.foreign)
         if foreign and not closing and m.group(3).endswith("/"):
             continue
         if tag in _RAW and not closing:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at) if ends_after(tag, at) else None
             at = end.end() if end else n
-            if tag != "textarea" and not dropped:
+            if tag != "textarea" and not tree.dropped:
                 close()
             continue
-        if dropped and tag not in _IN_HEAD and not closing:
-            k = next((k for k, x in enumerate(stack) if x[0] == "head"), 0)
-            if k and stack[-1][0] == "head":  # what cannot stand in a head ends it
-                dropped -= sum(x[0] in _DROP for x in stack[k:])
-                del stack[k:]
+        if tree.dropped and tag not in _IN_HEAD and not closing and stack[-1][0] == "head":
+            tree.cut(tree.at["head"][0])  # what cannot stand in a head ends it
         if tag == "br" or tag == "hr":
-            if tag == "hr" and not dropped:
+            if tag == "hr" and not tree.dropped:
                 close()
-            elif not dropped:
+            elif not tree.dropped:
                 parts.append(" ")
             continue
-        if tag in _GOOD_TAG and dropped and not closing:
+        if tag in _GOOD_TAG and tree.dropped and not closing:
             # an element that never ends does not hold the main text
-            k = next((k for k, x in enumerate(stack) if x[0] in _EMBED), 0)
-            if k and not re.compile(rf"</{stack[k][0]}\b", re.I).search(page, at):
-                for gone in stack[k:]:
-                    link_depth -= gone[0] == "a"
-                    dropped -= gone[0] in _DROP
-                del stack[k:]
-        if tag not in _INLINE and tag not in ("option", "button") and not dropped:
+            k = min((tree.at[x][0] for x in _EMBED if tree.at.get(x)), default=0)
+            if k and not ends_after(stack[k][0], at):
+                tree.cut(k)
+        if tag not in _INLINE and tag not in ("option", "button") and not tree.dropped:
             close()
         if closing:
-            k = len(stack) - 1
-            while k > 0 and stack[k][0] != tag:
-                k -= 1
-            if k > 0:
-                if tag in _INLINE and any(stack[j][0] not in _INLINE for j in range(k + 1, len(stack))):
-                    continue  # an inline element does not end the blocks that it holds
-                for gone in stack[k:]:
-                    link_depth -= gone[0] == "a"
-                    dropped -= gone[0] in _DROP
-                del stack[k:]
+            k = tree.find(tag)
+            if k and not (tag in _INLINE and stack[-1][4] > stack[k][4]):  # an inline element does not end the blocks that it holds
+                tree.cut(k)
             continue
         if tag in _VOID:
             continue
-        if tag in _P_CLOSERS:
-            k = len(stack) - 1
-            while k > 0 and stack[k][0] in _INLINE:
-                k -= 1
-            if stack[k][0] == "p":  # a paragraph ends where the next block starts
-                link_depth -= sum(x[0] == "a" for x in stack[k:])
-                del stack[k:]
-        if tag == "li" or tag in ("dt", "dd", "tr", "td", "th"):
-            if stack[-1][0] == tag:
-                stack.pop()
-        number += 1
-        own = _hint(tag, m.group(3))
-        up = stack[-1][2]
-        stack.append((tag, number, _inherited(tag, own, up)))
-        link_depth += tag == "a"
-        dropped += tag in _DROP
+        if tag in _P_CLOSERS and stack[stack[-1][3]][0] == "p":
+            tree.cut(stack[-1][3])  # a paragraph ends where the next block starts
+        if tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1][0] == tag:
+            tree.cut(len(stack) - 1)
+        tree.push(tag, _hint(tag, m.group(3)))
     close()
     for i, b in enumerate(out):
         b.place = (i + 0.5) / len(out)
@@ -295,12 +328,6 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
                 u = to[path.pop() ^ 1]
 
 
-def distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Steps in the tree from one block to another, whose elements lie below ``a`` and ``b``."""
-    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    return len(a) + len(b) - 2 * same + 2
-
-
 def label(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     """True: content. The classifier's log odds, a strong cost for roles by element, a moderate one for roles by name."""
     if not blocks:
@@ -313,7 +340,7 @@ def label(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i and (blocks[i - 1].hint == -2) == (b.hint == -2):
-            edges.append((i - 1, i, NEAR / distance(blocks[i - 1].path, b.path)))
+            edges.append((i - 1, i, NEAR / b.steps))
         j = last.get(b.parent)
         if j is not None and j < i - 1 and (blocks[j].hint == -2) == (b.hint == -2):
             edges.append((j, i, SAME_PARENT))

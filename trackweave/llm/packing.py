@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, materialize
+from .common import add_columns, fresh_path, materialize
 from .tokens import encoder, id_lists
 
 #: Groups at the utmost, and lengths to a group at the least.
@@ -55,6 +55,20 @@ def round_up_groups(histogram: dict[int, int], groups: int) -> list[tuple[int, l
     return merged
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots. Without LAPACK: its threads can stall in a process that also holds Spark's driver."""
+    n = len(matrix)
+    both = np.concatenate((matrix, np.eye(n)), axis=1)
+    for i in range(n):
+        k = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, k]] = both[[k, i]]
+        both[i] /= both[i, i]
+        factors = both[:, i].copy()
+        factors[i] = 0.0
+        both -= factors[:, None] * both[i]
+    return both[:, n:].copy()
+
+
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, float]]:
     """Configurations and multiplicities of the relaxed packing problem (column generation)."""
     n = len(sizes)
@@ -63,7 +77,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     inverse = np.diag(1 / (capacity // w))
     columns = [basis[:, i].copy() for i in range(n)]
     demand = np.array(demand) + np.arange(n) / (1000.0 * n)  # equal demands would make many steps of length zero
-    x = inverse @ demand
+    x = (inverse * demand).sum(axis=1)
     # a configuration holds at most so many sizes; each level of the knapsack adds one of them, or none
     most = capacity // int(w.min())
     rest = np.arange(capacity + 1)[:, None] - w
@@ -86,7 +100,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
             if pick[c] >= 0:
                 a[pick[c]] += 1
                 c -= w[pick[c]]
-        d = inverse @ a
+        d = (inverse * a).sum(axis=1)
         ratio = np.where(d > 1e-10, x / np.maximum(d, 1e-10), np.inf)
         out = int(ratio.argmin())
         t = ratio[out]
@@ -94,11 +108,11 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
         x[out] = t
         columns[out] = a
         row = inverse[out] / d[out]
-        inverse = inverse - np.outer(d, row)
+        inverse = inverse - d[:, None] * row
         inverse[out] = row
         if step % 200 == 199:
-            inverse = np.linalg.inv(np.array(columns).T)
-            x = inverse @ demand
+            inverse = inverted(np.array(columns).T)
+            x = (inverse * demand).sum(axis=1)
     return [(c, max(0.0, v)) for c, v in zip(columns, x)]
 
 
@@ -259,16 +273,35 @@ def pack_documents(docs: DataFrame, path: str, length: int = 1024, end_id: int =
     places, packed = _places(pack_histogram(histogram, limit, groups))
     before = Window.partitionBy("r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "r", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    # one row a part, of at most ``length`` entries: small beside the part's ids, whether it is broadcast or joined by shuffles
-    by_rest = materialize(base.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("r", "base"))).alias("base")), "bases")
-    rows = tokens.join(by_rest, "part").select("__id", "n", "r", "ids", "part", (F.element_at("base", F.col("r")) + F.col("rank")).alias("rank"), "full")
+    # a file a part, of at most ``length`` rows: the task of a part's ids reads it, whatever the number of parts, and no ids are shuffled
+    bases = fresh_path(docs.sparkSession, "bases")
+    base.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(bases)
+    rows = tokens.select("__id", "n", "r", "ids", "part", "rank", "full")
     id_type = tokens.schema["__id"].dataType
 
     def place(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        held: dict[int, np.ndarray] = {}
+
+        def bases_of(part: int) -> np.ndarray:
+            if part not in held:
+                held.clear()
+                store, folder = fs.FileSystem.from_uri(bases)
+                own = np.zeros(limit, np.int64)
+                for f in store.get_file_info(fs.FileSelector(f"{folder}/part={part}")):
+                    if f.path.endswith(".parquet"):
+                        t = pq.ParquetFile(store.open_input_file(f.path)).read(columns=["r", "base"])
+                        own[t["r"].to_numpy()] = t["base"].to_numpy()
+                held[part] = own
+            return held[part]
+
         for b in batches:
             out = [[] for _ in range(7)]
             owner: list[int] = []
             n, r, part, rank, full = (b.column(i).to_pylist() for i in (1, 2, 4, 5, 6))
+            rank = [k + int(bases_of(own)[rest]) for k, own, rest in zip(rank, part, r)]
             for i in range(b.num_rows):
                 size = 2 if len(b.column(3)[i].as_buffer()) == 2 * n[i] else 4
                 ids = np.frombuffer(b.column(3)[i].as_buffer(), "<u2" if size == 2 else "<u4").astype("<u4").tobytes()

@@ -9,6 +9,7 @@ corpus are all that reaches the driver: one row for each pattern of votes and fe
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from dataclasses import dataclass
@@ -67,8 +68,6 @@ def _emails(text: str):
             done = at = m.end()
         else:
             at += 1
-            if start == at - 1:
-                done = max(done, 0)
 
 
 def raw_spans(text: str) -> list[tuple[str, int, int, bool]]:
@@ -87,6 +86,31 @@ def raw_spans(text: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
+class Taken:
+    """Spans joined into runs that do not overlap, in order: whether a span meets one is found by bisection."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            self.append(a, b)
+
+    def __iter__(self):
+        return zip(self.starts, self.ends)
+
+    def append(self, a: int, b: int) -> None:
+        """``a`` is not less than any start so far."""
+        if self.ends and a < self.ends[-1]:
+            self.ends[-1] = max(self.ends[-1], b)
+        else:
+            self.starts.append(a)
+            self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect.bisect_right(self.ends, a)
+        return k == len(self.starts) or self.starts[k] >= b
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """Strict spans (True) and looser ones that overlap no strict span (False), in order of start."""
     strict = raw_spans(text)
@@ -108,11 +132,15 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
         loose += [("card", *m.span()) for m in _LOOSE_CARD.finditer(text)]
     out = [(k, a, b, True) for k, a, b in base]
     if loose or failed:
-        taken = [(a, b) for _, a, b in base]
-        for k, a, b in [*sorted(loose, key=lambda x: (x[1], KINDS.index(x[0]))), *failed]:  # failed spans last: their parts may be better
-            if not any(a < e and s < b for s, e in taken):
-                out.append((k, a, b, False))
-                taken.append((a, b))
+        taken = Taken((a, b) for _, a, b in base)
+        # failed spans last: their parts may be better; those of a kind are in order
+        for part in (sorted(loose, key=lambda x: (x[1], KINDS.index(x[0]))), *([x for x in failed if x[0] == kind] for kind in KINDS)):
+            added = Taken()
+            for k, a, b in part:
+                if taken.free(a, b) and added.free(a, b):
+                    out.append((k, a, b, False))
+                    added.append(a, b)
+            taken = Taken([*taken, *added])
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
