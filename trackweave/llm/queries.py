@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, extract, huffman, packing, pii, sharding, simhash, substrings, tokens, toxicity
+from . import ann, collocations, decontaminate, extract, huffman, packing, pii, sharding, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,12 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = (op1_main_text, op2_simhash, op3_nearest, op4_huffman, op5_sharding, op6_pii, op7_toxicity, op8_wu_manber, op9_packing, op10_suffixes)
+    own = (op1_main_text, op2_simhash, op3_nearest, op4_huffman, op5_sharding, op6_pii, op7_toxicity, op8_wu_manber, op9_packing, op10_suffixes, op13_collocations)
     return {f.__name__: f for f in own}
 
 
@@ -80,6 +84,22 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
 """
 
 
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 100),
+u AS (SELECT lang, k, phrase, a, j, array_to_string(w[1 : j], ' ') AS head, array_to_string(w[j + 1 : k], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT u.lang, u.k, u.phrase, a, j, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score FROM u JOIN f AS x ON x.lang = u.lang AND x.phrase = head JOIN f AS y ON y.lang = u.lang AND y.phrase = tail JOIN n ON n.lang = u.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT DISTINCT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, a AS by FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c))),
+t AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = b.lang AND o.phrase = b.phrase AND 100 * o.by >= 100 * b.a))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Windows of words can be searched for in SQL; XXH64, token ids, fitted models, packings and graphs are tested by brute force."""
-    return {"op8_wu_manber": OP8_SQL}
+    return {"op8_wu_manber": OP8_SQL, "op13_collocations": OP13_SQL}
