@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, collocations, decontaminate, extract, huffman, packing, pii, sharding, simhash, substrings, tokens, toxicity
+from . import ann, collocations, decontaminate, extract, huffman, impact, packing, pii, sharding, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,12 +59,16 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op12_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    own = (op1_main_text, op2_simhash, op3_nearest, op4_huffman, op5_sharding, op6_pii, op7_toxicity, op8_wu_manber, op9_packing, op10_suffixes, op13_collocations)
+    own = (op1_main_text, op2_simhash, op3_nearest, op4_huffman, op5_sharding, op6_pii, op7_toxicity, op8_wu_manber, op9_packing, op10_suffixes, op12_impact_topk, op13_collocations)
     return {f.__name__: f for f in own}
 
 
@@ -84,6 +88,13 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
 """
 
 
+OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, len(embedding) AS d, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2]))::BIGINT AS score FROM v AS q JOIN v AS c ON q.d = c.d AND q.rid <> c.rid WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+"""
+
 OP13_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
 p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
@@ -102,4 +113,4 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT *, ro
 
 def oracle_sql() -> dict[str, str]:
     """Windows of words can be searched for in SQL; XXH64, token ids, fitted models, packings and graphs are tested by brute force."""
-    return {"op8_wu_manber": OP8_SQL, "op13_collocations": OP13_SQL}
+    return {"op8_wu_manber": OP8_SQL, "op12_impact_topk": OP12_SQL, "op13_collocations": OP13_SQL}
