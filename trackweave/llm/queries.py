@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, collocations, decontaminate, extract, huffman, impact, packing, pii, sharding, simhash, substrings, tokens, toxicity
+from . import ann, collocations, decontaminate, dialogues, extract, huffman, impact, packing, pii, sharding, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.audit(_table(spark, sf_dir, "conversations"))
+
+
 def op12_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -68,7 +72,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_main_text, op2_simhash, op3_nearest, op4_huffman, op5_sharding, op6_pii, op7_toxicity, op8_wu_manber, op9_packing, op10_suffixes, op12_impact_topk, op13_collocations)
+    own = (op1_main_text, op2_simhash, op3_nearest, op4_huffman, op5_sharding, op6_pii, op7_toxicity, op8_wu_manber, op9_packing, op10_suffixes, op11_conversations, op12_impact_topk, op13_collocations)
     return {f.__name__: f for f in own}
 
 
