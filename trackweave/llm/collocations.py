@@ -249,13 +249,13 @@ def uncovered(phrases: DataFrame, cover: int = 100) -> DataFrame:
     return phrases.join(longer, ["lang", "phrase"], "left").where(F.col("by").isNull() | (100 * F.col("by") < cover * F.col("a"))).drop("by")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, text_col: str = "text", lang_col: str = "lang", cover: int = 100) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, text_col: str = "text", lang_col: str = "lang", cover: int = 100, **limits) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     Nulls count as empty texts and as the language ``und``; repeated rows count each; ties of scores go to the
     more frequent phrase, then to the one first in byte order; no text gives no row. Other columns play no part.
     """
-    levels, totals = mine(docs, least, longest, text_col, lang_col)
+    levels, totals = mine(docs, least, longest, text_col, lang_col, **limits)
     kept = materialize(uncovered(scored(levels, totals), cover), "scored")
     order = (F.desc("score"), F.desc("a"), "phrase")
     # heads of parts first: the last ranking of a language sees at most PARTS * top rows
