@@ -11,11 +11,23 @@ from .ranges import points_within
 HOUR = 3_600_000_000
 
 
-def sessionize(points: DataFrame, gap: int, key: str = "icao24") -> DataFrame:
-    """``seq``: number of the session within the key; a delta over ``gap`` starts a new one."""
-    w = Window.partitionBy(key).orderBy("t", "event_id")
+def sessionize(points: DataFrame, gap: int, key: str = "icao24", day: int = 24 * HOUR) -> DataFrame:
+    """``seq``: number of the session within the key; a delta over ``gap`` starts a new one.
+
+    Sessions are first numbered within a day of a key. The days' first and last times and numbers, a row each, then
+    tell by how much a day's numbers rise and whether its first session goes on from an earlier day: no task sees more
+    of a key than one day and one row for each day. Rows without a time come first, in the key's first session.
+    """
+    name, cell = F.coalesce(key, F.lit("\u0000")).alias("__key"), F.coalesce(F.floor(F.col("t") / day), F.lit(-(1 << 62))).alias("__day")
+    dealt = points.select("*", name, cell)
+    w = Window.partitionBy("__key", "__day").orderBy("t", "event_id")
     new = F.when(F.col("t") - F.lag("t").over(w) > gap, 1).otherwise(0)
-    return points.withColumn("__new", new).withColumn("seq", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
+    dealt = dealt.withColumn("__new", new).withColumn("__own", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    days = dealt.groupBy("__key", "__day").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.sum("__new").alias("new"))
+    by = Window.partitionBy("__key").orderBy("__day")
+    starts = F.when(F.col("first") - F.lag("last").over(by) > gap, 1).otherwise(0)
+    base = days.withColumn("starts", starts).select("__key", "__day", (F.sum(F.col("new") + F.col("starts")).over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("new")).alias("__base"))
+    return dealt.join(base, ["__key", "__day"]).withColumn("seq", (F.col("__base") + F.col("__own")).cast("long")).drop("__key", "__day", "__new", "__own", "__base")
 
 
 def build_segments(sessions: DataFrame, least: int = 2) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators import numbering as N
 from ..operators import segments as S
 from ..operators import tracks as K
 from ..operators.ranges import points_within
@@ -200,12 +201,20 @@ def monthly_stats(spark, d):
 @query("""SELECT icao24, CASE WHEN rn <= round_even(0.7 * n, 0) THEN 'train' WHEN rn <= round_even(0.7 * n, 0) + round_even(0.15 * n, 0) THEN 'val' ELSE 'test' END AS split
  FROM (SELECT icao24, row_number() OVER (ORDER BY md5('42|' || icao24), icao24) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT icao24 FROM seg))""")
 def split_by_aircraft(spark, d):
-    ids = _seg(spark, d).select("icao24").distinct()
-    n = ids.count()
-    train, val = round(0.7 * n), round(0.15 * n)
-    w = Window.orderBy(F.md5(F.concat(F.lit("42|"), "icao24")), "icao24")  # one row an aircraft
-    rn = F.row_number().over(w)
-    return ids.select("icao24", F.when(rn <= train, "train").when(rn <= train + val, "val").otherwise("test").alias("split"))
+    """Every aircraft in one split, in an order by digest; places are counted in parts."""
+    return N.split_of_keys(_seg(spark, d), "icao24")
+
+
+@query("SELECT event_id, CAST(row_number() OVER (ORDER BY md5('7|' || event_id), event_id) AS BIGINT) AS place, CAST(count(*) OVER () AS BIGINT) AS total FROM events", cte=False)
+def event_permutation(spark, d):
+    """All events in a seeded order."""
+    return N.permuted(spark.read.parquet(f"{d}/events.parquet").select("event_id"), F.col("event_id").cast("string"), 7)
+
+
+@query("SELECT segment_id, n_points FROM seg ORDER BY md5('11|' || segment_id), segment_id LIMIT 250")
+def segment_sample(spark, d):
+    """Exactly as many segments as asked for, the same for every layout."""
+    return N.sampled(_seg(spark, d).select("segment_id", "n_points"), F.col("segment_id"), 250, 11)
 
 
 # reconstruction
