@@ -27,14 +27,18 @@ def rank_runs(rows: DataFrame, key: list[str], counts: list[str], tie: str) -> D
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(size.desc(), tie)))
 
 
+def stored_rows() -> Column:
+    """Rows of all parts of a saved segment; null counts are zero."""
+    return sum((F.coalesce(f"{c}_rows", F.lit(0)) for c in COUNTED), F.lit(0))
+
+
 def rank_master(rows: DataFrame) -> DataFrame:
     """``duplicate_rank`` within a dedup_key (1: master), and whether the key has several rows.
 
     Listed in the summary first, then with metadata, then by run, then most rows, then by segment (null counts are zero).
     """
-    size = sum((F.coalesce(c, F.lit(0)) for c in ("adsc_rows", "adsb_before_rows", "adsb_after_rows", "stitched_rows")), F.lit(0))
     w = Window.partitionBy("dedup_key")
-    order = [F.desc("summary_present"), F.desc("metadata_present"), F.asc_nulls_last("source_run"), size.desc(), F.asc("segment_id")]
+    order = [F.desc("summary_present"), F.desc("metadata_present"), F.asc_nulls_last("source_run"), stored_rows().desc(), F.asc("segment_id")]
     return rows.withColumn("duplicate_rank", F.row_number().over(w.orderBy(*order))).withColumn("is_master_record", F.col("duplicate_rank") == 1).withColumn("is_duplicate", F.count("*").over(w) > 1)
 
 

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import catalog as C
 from ..sources import tables as T
+from ..sources.reports import points, reports
+from ..streaming import live as L
+from ..streaming import stateful as W
 from ..streaming import tables as Y
-from .queries import _ERR, _pts, _seg, query
+from .queries import _ERR, GAP, HOUR, _pts, _seg, query
 from .reconstruct import _base
+from .sections import _SAVED, _runs
 
 _SEG = "segment_id, icao24, seq, s0, s1, n_points"
 
@@ -106,3 +111,51 @@ def stream_months(spark, d):
     out = T.shared_folder(spark)
     counts = _stream(spark, d).groupBy(F.date_format("time", "yyyy-MM").alias("month"), "event_type").agg(F.count("*").alias("n"))
     return Y.stream_latest(counts, ["month", "event_type"], f"{out}/rows", f"{out}/state")
+
+
+_LATE = 4 * HOUR
+
+
+@query(f"SELECT icao24, s0, s1, n_points, lat0, lon0, lat1, lon1 FROM seg WHERE s1 + {GAP} < (SELECT max(t) // 1000 * 1000 FROM adsc) - {_LATE}")
+def stream_segments(spark, d):
+    """Segments as a stream in two runs; sessions over the midnight between them are given once, by the second."""
+    out = T.shared_folder(spark)
+    rows = points(spark, d, "adsc").select("icao24", "event_id", "t", "latitude", "longitude", F.col("ts").cast("timestamp").alias("time"))
+    ends = rows.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    midnight = ((ends.a or 0) + (ends.b or 0)) // 2 // (24 * HOUR) * 24 * HOUR
+    for run in (F.col("t") < midnight, F.col("t") >= midnight):
+        rows.where(run).write.mode("append").parquet(f"{out}/reports")
+        got = W.stream_segments(spark.readStream.schema(rows.schema).parquet(f"{out}/reports"), GAP, f"{out}/segments", f"{out}/state")
+    return got
+
+
+@query(_SAVED + f"SELECT dedup_key, segment_id, source_run, summary_present, metadata_present FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY summary_present DESC, metadata_present DESC, source_run, adsc_rows + adsb_before_rows + coalesce(adsb_after_rows, 0) + stitched_rows DESC, segment_id) AS rank FROM (SELECT *, icao24 || '|' || (s0 // {240 * HOUR}) AS dedup_key FROM aud)) WHERE rank = 1")
+def stream_master(spark, d):
+    """The best saved segment of each key, of segments that come run by run."""
+    out = T.shared_folder(spark)
+    saved = _runs(spark, d)[0].withColumn("dedup_key", F.concat_ws("|", "icao24", F.floor(F.col("s0") / (240 * HOUR)))).select("dedup_key", "segment_id", "source_run", "summary_present", "metadata_present", C.stored_rows().alias("size"))
+    saved = T.stage(saved)
+    order = [~F.col("summary_present"), ~F.col("metadata_present"), F.col("source_run").isNull(), F.col("source_run"), -F.col("size"), F.col("segment_id")]
+    for run in ("2", "0", "1"):  # the best does not come first
+        saved.where(F.col("source_run").endswith(run)).write.mode("append").parquet(f"{out}/saved")
+        best = W.stream_best(spark.readStream.schema(saved.schema).parquet(f"{out}/saved"), "dedup_key", order, f"{out}/best", f"{out}/state")
+    return best.drop("size")
+
+
+_POLLS = f"""seen AS (SELECT p.*, t // 90000000 + 1 + k AS poll FROM proj p, (SELECT unnest([0, 1]) AS k)),
+newest AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY poll, icao24 ORDER BY t DESC, event_id DESC) = 1)"""
+
+
+@query(f""", {_POLLS} SELECT poll, icao24, CAST(round(altitude_m * 3.28084e0) AS BIGINT) AS alt_ft, CAST(round(velocity_mps * 1.94384e0) AS BIGINT) AS vel_kts FROM (SELECT * REPLACE (CASE WHEN event_id % 13 = 0 THEN altitude_m - 50 ELSE altitude_m END AS altitude_m) FROM newest)
+ WHERE poll % 50 <> 0 AND event_id % 11 <> 0 AND event_id % 17 <> 0 AND latitude BETWEEN 51 AND 57 AND longitude BETWEEN -60 AND -20 AND altitude_m >= 9500 AND velocity_mps >= 210 AND poll * 90 - t // 1000000 <= 90""")
+def stream_live(spark, d):
+    """Live positions polled from a source that fails at times, keeps old ones and knows some places or heights not."""
+    out, e = T.shared_folder(spark), F.col("event_id")
+    rows = reports(spark, d).withColumns({"callsign": F.concat(F.lit("FL "), e.cast("string"), F.lit(" ")), "on_ground": e % 11 == 0, "baro_m": F.col("altitude_m") - 50, "altitude_m": F.when(e % 13 != 0, F.col("altitude_m")), "latitude": F.when(e % 17 != 0, F.col("latitude"))})
+    L.write_snapshots(rows, f"{out}/polls")
+    first, last = L.poll_range(rows)
+    spark.dataSource.register(L.LiveStates)
+    states = spark.readStream.format("live_states").options(path=f"{out}/polls", first=first, last=last, box="51,57,-60,-20", failing=50).load()
+    up = L.airborne(states, 9500, 210).select("poll", "icao24", "alt_ft", "vel_kts")
+    Y.finish(up.writeStream.format("parquet").option("path", f"{out}/up").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start())
+    return spark.read.schema(up.schema).parquet(f"{out}/up")

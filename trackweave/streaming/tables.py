@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +17,17 @@ def finish(query: StreamingQuery, seconds: int = 3600) -> None:
         raise TimeoutError(f"the stream did not end within {seconds} seconds")
 
 
+def written(rows: DataFrame, out: str) -> DataFrame:
+    """What batches have written to ``out``, in the columns of ``rows``; nothing, if no batch had a row."""
+    spark = rows.sparkSession
+    try:
+        return spark.read.parquet(out).select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], rows.schema)
+
+
 def stream_by_day(rows: DataFrame, day: Column, out: str, checkpoint: str) -> DataFrame:
     """Append the stream ``rows`` to ``out`` in partitions of day and batch: a batch that is repeated replaces its own only.
 
@@ -26,7 +38,7 @@ def stream_by_day(rows: DataFrame, day: Column, out: str, checkpoint: str) -> Da
         overwrite_parts(batch.withColumn("day", day).withColumn("batch", F.lit(number).cast("long")), out, ["day", "batch"])
 
     finish(rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    return rows.sparkSession.read.parquet(out)
+    return written(rows.withColumn("day", day).withColumn("batch", F.lit(0).cast("long")), out)
 
 
 def stream_first(rows: DataFrame, keys: list[str], time: str, out: str, checkpoint: str, late: str = "48 hours") -> DataFrame:
@@ -44,4 +56,4 @@ def stream_latest(counts: DataFrame, keys: list[str], out: str, checkpoint: str)
 
     finish(counts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start())
     w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
-    return counts.sparkSession.read.parquet(out).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "batch")
+    return written(counts.withColumn("batch", F.lit(0).cast("long")), out).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "batch")
