@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,65 +50,159 @@ def gap_rows(measured: DataFrame, targets: DataFrame, ends: DataFrame) -> DataFr
     return seen.unionByName(asked.select("segment_id", "t", nothing.alias("along_m"), nothing.alias("cross_m"), "event_id"))
 
 
-def _smooth(t: np.ndarray, z: np.ndarray, params: np.ndarray) -> np.ndarray:
-    """Positions (step, parameter set, axis) at the times ``t`` (s); ``z`` (step, axis) is NaN where nothing was measured.
-
-    Noise and motion of the two axes are independent, so each is a filter of position and speed with a scalar
-    measurement; all parameter sets go through one pass as arrays.
+#: Values of one quantity that a batch of gaps may have: gaps times steps times parameter sets times two axes.
+CELLS = 1 << 18
+#: Start variances of the speeds along and across (m/s).
+SPEED_STD = np.array([250.0, 50.0])
+
+
+@dataclass
+class Motion:
+    """Positions, speeds and their covariances on two axes, which are independent; any leading dimensions, the last is the axis."""
+
+    x: np.ndarray
+    v: np.ndarray
+    xx: np.ndarray
+    xv: np.ndarray
+    vv: np.ndarray
+
+    @classmethod
+    def start(cls, x: np.ndarray, v: np.ndarray, r: np.ndarray) -> Motion:
+        """From a first position and speed; ``r``, the variance of a measurement, has the dimensions of the result."""
+        full = np.zeros(np.broadcast_shapes(x.shape, r.shape))
+        return cls(full + x, full + v, full + 4 * r, full.copy(), full + SPEED_STD**2)
+
+    def predicted(self, dt: np.ndarray, q: np.ndarray) -> Motion:
+        return Motion(
+            self.x + dt * self.v, self.v, self.xx + 2 * dt * self.xv + dt**2 * self.vv + q * dt**4 / 4,
+            self.xv + dt * self.vv + q * dt**3 / 2, self.vv + q * dt**2,
+        )
+
+    def updated(self, z: np.ndarray, r: np.ndarray) -> Motion:
+        """With a measured position; where ``z`` is NaN nothing was measured."""
+        seen = ~np.isnan(z)
+        gain = np.where(seen, self.xx / (self.xx + r), 0.0)
+        speed_gain = np.where(seen, self.xv / (self.xx + r), 0.0)
+        off = np.where(seen, z, self.x) - self.x
+        return Motion(self.x + gain * off, self.v + speed_gain * off, self.xx - gain * self.xx, self.xv - gain * self.xv, self.vv - speed_gain * self.xv)
+
+    def smoothed(self, dt: np.ndarray, ahead: Motion, x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position and speed here, given those smoothed one step on (``x``, ``v``) and what was predicted for there (``ahead``)."""
+        a, b, c = self.xx + dt * self.xv, self.xv, self.xv + dt * self.vv
+        det = ahead.xx * ahead.vv - ahead.xv**2
+        dx, dv = (x - ahead.x) / det, (v - ahead.v) / det
+        ex, ev = ahead.vv * dx - ahead.xv * dv, ahead.xx * dv - ahead.xv * dx
+        return self.x + a * ex + b * ev, self.v + c * ex + self.vv * ev
+
+
+def smooth_batch(t: np.ndarray, z: np.ndarray, params: np.ndarray) -> np.ndarray:
+    """Positions (gap, step, parameter set, axis) of many gaps side by side.
+
+    ``t`` (gap, step) in seconds, ``z`` (gap, step, axis), NaN where nothing was measured. A short gap goes on with
+    steps of no time. Each gap has a measurement.
     """
-    n, sets = len(t), len(params)
-    r, q = np.repeat(params[:, :1] ** 2, 2, axis=1), params[:, 1:] ** 2
-    known = np.flatnonzero(~np.isnan(z[:, 0]))
-    a, b = known[0], known[min(1, len(known) - 1)]
-    speed = (z[b] - z[a]) / max(t[b] - t[a], 1.0)
-    x = np.broadcast_to(np.stack([z[a], speed]), (sets, 2, 2)).copy()  # set, (position, speed), axis
-    p = np.zeros((sets, 2, 2, 2))  # set, row, column, axis
-    p[:, 0, 0], p[:, 1, 1] = 4 * r, np.array([250.0**2, 50.0**2])
-    xs, ps, xps, pps = (np.empty((n, *v.shape)) for v in (x, p, x, p))
-    steps = np.diff(t, prepend=t[0])
-    for i, dt in enumerate(steps):
+    gaps, n = t.shape
+    r, q = (params[:, :1] ** 2)[None] + np.zeros(2), (params[:, 1:] ** 2)[None]
+    known = ~np.isnan(z[:, :, 0])
+    first, row = known.argmax(axis=1), np.arange(gaps)
+    later = known & (np.arange(n) > first[:, None])
+    second = np.where(later.any(axis=1), later.argmax(axis=1), first)
+    start = z[row, first]
+    speed = (z[row, second] - start) / np.maximum(t[row, second] - t[row, first], 1.0)[:, None]
+    steps = np.diff(t, axis=1, prepend=t[:, :1])[:, :, None, None]
+    now = Motion.start(start[:, None], speed[:, None], r)
+    before, after = [], []
+    for i in range(n):
         if i:
-            x = np.stack([x[:, 0] + dt * x[:, 1], x[:, 1]], axis=1)
-            pv = p[:, 0, 1] + dt * p[:, 1, 1] + q * dt**3 / 2
-            pp = p[:, 0, 0] + 2 * dt * p[:, 0, 1] + dt**2 * p[:, 1, 1] + q * dt**4 / 4
-            p = np.stack([np.stack([pp, pv], 1), np.stack([pv, p[:, 1, 1] + q * dt**2], 1)], 1)
-        xps[i], pps[i] = x, p
-        if not np.isnan(z[i, 0]):
-            gain = p[:, 0] / (p[:, 0, 0] + r)[:, None]
-            x = x + gain * (z[i] - x[:, 0])[:, None]
-            p = p - gain[:, :, None] * p[:, None, 0]
-        xs[i], ps[i] = x, p
+            now = now.predicted(steps[:, i], q)
+        before.append(now)
+        now = now.updated(z[:, i, None], r)
+        after.append(now)
+    out = np.empty((gaps, n, len(params), 2))
+    x, v = now.x, now.v
+    out[:, n - 1] = x
     for i in range(n - 2, -1, -1):
-        dt, f = steps[i + 1], ps[i]
-        m = np.stack([f[:, :, 0] + dt * f[:, :, 1], f[:, :, 1]], axis=2)  # covariance of this state with the next prediction
-        g = pps[i + 1]
-        det = g[:, 0, 0] * g[:, 1, 1] - g[:, 0, 1] ** 2
-        inverse = np.stack([np.stack([g[:, 1, 1], -g[:, 0, 1]], 1), np.stack([-g[:, 0, 1], g[:, 0, 0]], 1)], 1) / det[:, None, None]
-        xs[i] += np.einsum("srka,skca,sca->sra", m, inverse, xs[i + 1] - xps[i + 1])
-    return xs[:, :, 0]
+        x, v = after[i].smoothed(steps[:, i + 1], before[i + 1], x, v)
+        out[:, i] = x
+    return out
+
+
+def _smooth(t: np.ndarray, z: np.ndarray, params: np.ndarray) -> np.ndarray:
+    """One gap: positions (step, parameter set, axis)."""
+    return smooth_batch(t[None], z[None], params)[0]
+
+
+def _smoothed_gaps(gap: np.ndarray, t: np.ndarray, z: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Positions (row, parameter set, axis) of rows in order of gap and time; NaN for gaps without a measurement.
+
+    Rows of one time are one step, whose measurement is the first row's. Gaps of like length go side by side; parameter sets
+    go one after the other where a single gap is long.
+    """
+    new_gap = np.diff(gap, prepend=gap[:1] - 1) != 0
+    new_step = new_gap | (np.diff(t, prepend=t[:1] - 1) != 0)
+    step = np.cumsum(new_step) - 1
+    at = np.flatnonzero(new_step)
+    own = (np.cumsum(new_gap) - 1)[at]  # the gap of each step
+    begin = np.flatnonzero(np.diff(own, prepend=-1))
+    sizes = np.diff(begin, append=len(own))
+    some = np.add.reduceat(~np.isnan(z[at, 0]), begin) > 0
+    found = np.full((len(at), len(grid), 2), np.nan)
+    order = np.flatnonzero(some)[np.argsort(sizes[some], kind="stable")]
+    i = 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and (j + 1 - i) * sizes[order[j]] * len(grid) * 2 <= CELLS:
+            j += 1
+        part = order[i:j]
+        n = sizes[part].max()
+        place = np.minimum(np.arange(n), sizes[part, None] - 1) + begin[part, None]
+        real = np.arange(n) < sizes[part, None]
+        times = (t[at[place]] - t[at[begin[part]]][:, None]) / 1e6
+        seen = np.where(real[:, :, None], z[at[place]], np.nan)
+        sets = max(1, CELLS // (2 * n * len(part)))
+        for k in range(0, len(grid), sets):
+            found[place[real], k : k + sets] = smooth_batch(times, seen, grid[k : k + sets])[real]
+        i = j
+    return found[step]
 
 
 def smooth_gaps(rows: DataFrame, params: list[tuple[float, float, float]]) -> DataFrame:
     """(segment_id, event_id, param_id, along_m, cross_m) for each time asked for and each parameter set.
 
-    One gap is one group, of at most the context's length and its own reports; gaps without a measurement give none.
+    Whole gaps meet in sorted batches and are smoothed side by side. Gaps without a measurement give none.
     """
     grid = np.array(params, dtype=float)
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        line = g.groupby("t", sort=True)[["along_m", "cross_m"]].first()
-        asked = g[g["event_id"].notna()]
-        if line["along_m"].isna().all() or asked.empty:
-            return pd.DataFrame(columns=["segment_id", "event_id", "param_id", "along_m", "cross_m"])
-        t = line.index.to_numpy()
-        got = _smooth((t - t[0]) / 1e6, line.to_numpy(dtype=float), grid)[np.searchsorted(t, asked["t"].to_numpy())]
-        k = len(grid)
-        return pd.DataFrame({
-            "segment_id": g["segment_id"].iloc[0], "event_id": np.repeat(asked["event_id"].to_numpy(dtype="int64"), k), "param_id": np.tile(np.arange(k, dtype="int32"), len(asked)),
-            "along_m": got[:, :, 0].ravel(), "cross_m": got[:, :, 1].ravel(),
-        })
-
-    return rows.groupBy("segment_id").applyInPandas(one, "segment_id string, event_id long, param_id int, along_m double, cross_m double")
+    k = len(grid)
+    order = ["segment_id", "t", F.col("along_m").isNull(), "event_id"]
+    ordered = rows.select("segment_id", "t", "along_m", "cross_m", "event_id").repartition("segment_id").sortWithinPartitions(*order)
+
+    def answers(table: pa.Table) -> pa.RecordBatch:
+        coded = table["segment_id"].combine_chunks().dictionary_encode()
+        z = np.stack([table[c].to_numpy() for c in ("along_m", "cross_m")], axis=1)
+        got = _smoothed_gaps(coded.indices.to_numpy(), table["t"].to_numpy(), z, grid)
+        asked = np.flatnonzero(table["event_id"].is_valid().to_numpy() & ~np.isnan(got[:, 0, 0]))
+        events = table["event_id"].take(pa.array(asked)).to_numpy().astype(np.int64)
+        made = [coded.take(pa.array(np.repeat(asked, k))).cast(pa.string()), pa.array(np.repeat(events, k)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(asked))), *(pa.array(got[asked, :, axis].ravel()) for axis in (0, 1))]
+        return pa.RecordBatch.from_arrays(made, names=["segment_id", "event_id", "param_id", "along_m", "cross_m"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size * k * 2 >= CELLS:
+                table = pa.Table.from_batches(held)
+                last = table["segment_id"][size - 1].as_py()
+                names = table["segment_id"].combine_chunks()
+                cut = pc.index(names, pa.scalar(last)).as_py()  # the last gap may go on
+                if cut:
+                    yield answers(table.slice(0, cut))
+                held, size = table.slice(cut).to_batches(), size - cut
+        if size:
+            yield answers(pa.Table.from_batches(held))
+
+    return ordered.mapInArrow(run, "segment_id string, event_id long, param_id int, along_m double, cross_m double")
 
 
 def path_position(along: Column, across: Column) -> tuple[Column, Column]:
@@ -141,10 +237,48 @@ def positions(smoothed: DataFrame, ends: DataFrame) -> DataFrame:
     return smoothed.join(ends.select("segment_id", *ENDS), "segment_id").withColumn("smooth_lat", lat).withColumn("smooth_lon", lon)
 
 
+def errors(placed: DataFrame, truth: DataFrame) -> DataFrame:
+    """``placed`` with ``km``, the distance from where the report truly was."""
+    e = placed.join(truth.select("event_id", "latitude", "longitude"), "event_id")
+    return e.withColumn("km", geo.haversine_m(*map(F.col, ("latitude", "longitude", "smooth_lat", "smooth_lon"))) / 1000)
+
+
 def tune(placed: DataFrame, truth: DataFrame, params: list[tuple[float, float, float]]) -> DataFrame:
     """One row a parameter set, best first: mean and median over gaps of a gap's mean error. Of equal ones the first is best."""
-    e = placed.join(truth.select("event_id", "latitude", "longitude"), "event_id")
-    e = e.withColumn("km", geo.haversine_m(*map(F.col, ("latitude", "longitude", "smooth_lat", "smooth_lon"))) / 1000)
+    e = errors(placed, truth)
     score = e.groupBy("param_id", "segment_id").agg(F.avg("km").alias("km")).groupBy("param_id").agg(F.avg("km").alias("mean_km"), F.median("km").alias("median_km"), F.count("*").alias("flights"))
     grid = e.sparkSession.createDataFrame([(i, *map(float, p)) for i, p in enumerate(params)], "param_id int, measurement_std_m double, accel_along double, accel_cross double")
     return score.join(F.broadcast(grid), "param_id").orderBy("mean_km", "param_id")  # the grid has at most 210 rows
+
+
+def better_by(own: Column, base: Column) -> Column:
+    """Improvement over a base in per cent; a base of nothing counts as next to nothing."""
+    return (1 - own / F.greatest(base, F.lit(1e-9))) * 100
+
+
+def compare_with_base(waypoints: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each flight: number of waypoints, mean and median error of both ways, improvements. ``waypoints``: keys, kalman_km, baseline_km."""
+    m = waypoints.groupBy(*keys).agg(F.count("*").alias("n_waypoints"), *[f(f"{way}_km").alias(f"{way}_{name}_error_km") for way in ("kalman", "baseline") for name, f in (("mean", F.avg), ("median", F.median))])
+    return m.select("*", *[better_by(F.col(f"kalman_{n}_error_km"), F.col(f"baseline_{n}_error_km")).alias(f"improvement_{n}_pct") for n in ("mean", "median")])
+
+
+def summarize_split(waypoints: DataFrame, split: str = "split", flight: str = "segment_id") -> DataFrame:
+    """Of each split: flights, mean and median of flights' mean errors, 90th percentile over all waypoints, improvements."""
+    flights = waypoints.groupBy(split, flight).agg(*[F.avg(f"{w}_km").alias(f"{w}_km") for w in ("kalman", "baseline")])
+    means = flights.groupBy(split).agg(F.count("*").alias("n_flights"), *[f(f"{w}_km").alias(f"{w}_{n}_error_km") for w in ("kalman", "baseline") for n, f in (("mean", F.avg), ("median", F.median))])
+    tails = waypoints.groupBy(split).agg(*[F.percentile(f"{w}_km", F.lit(0.9)).alias(f"{w}_p90_error_km") for w in ("kalman", "baseline")])
+    improved = [better_by(F.col(f"kalman_{n}_error_km"), F.col(f"baseline_{n}_error_km")).alias(f"improvement_{n}_pct") for n in ("mean", "median")]
+    return means.join(tails, split).select("*", *improved)
+
+
+def tuned(rows: DataFrame, ends: DataFrame, truth: DataFrame, splits: DataFrame, params: list[tuple[float, float, float]]) -> tuple[tuple[float, float, float], DataFrame]:
+    """The best of ``params`` on the gaps of split ``val``, and the table of all; without such gaps an error.
+
+    ``splits``: segment_id, split. The table has a row a parameter set.
+    """
+    val = rows.join(splits.where("split = 'val'").select("segment_id"), "segment_id", "left_semi")
+    table = tune(positions(smooth_gaps(val, params), ends), truth, params)
+    best = table.first()
+    if best is None:
+        raise ValueError("no gap of the validation split can be smoothed")
+    return params[best["param_id"]], table

@@ -287,25 +287,6 @@ def serve_track(spark, d):
     return full.select("segment_id", "t", "source", r("latitude"), r("longitude"))
 
 
-def _gap_rows(spark, d):
-    ends = _anc(spark, d)
-    return Z.gap_rows(Z.context_measurements(points(spark, d, "adsb"), ends, CONTEXT), _pts(spark, d), ends)
-
-
-@query()
-def kalman_gap(spark, d):
-    """Each sparse report's place as smoothed along and across the great circle, by the default parameters."""
-    p = Z.positions(Z.smooth_gaps(_gap_rows(spark, d), [(2000.0, 0.001, 0.01)]), _anc(spark, d))
-    return p.select("segment_id", "event_id", r("smooth_lat", 4), r("smooth_lon", 4))
-
-
-@query()
-def kalman_tune(spark, d):
-    """The compact grid, best parameters first."""
-    grid = Z.parameter_grid("compact")
-    return Z.tune(Z.positions(Z.smooth_gaps(_gap_rows(spark, d), grid), _anc(spark, d)), _pts(spark, d), grid).select("param_id", "measurement_std_m", "accel_along", "accel_cross", r("mean_km", 3), r("median_km", 3), "flights")
-
-
 @query()
 def ml_sequences(spark, d):
     """One row of fixed-length arrays a gap, as a recurrent network takes it."""
