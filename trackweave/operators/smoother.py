@@ -26,16 +26,18 @@ def parameter_grid(name: str) -> list[tuple[float, float, float]]:
     return list(itertools.product(*GRIDS[name]))
 
 
-def context_points(dense: DataFrame, ends: DataFrame, context: int, before: int = 64, after: int = 32) -> DataFrame:
-    """The last ``before`` dense points up to each gap's start and the first ``after`` from its end on, ends included."""
+def context_points(dense: DataFrame, ends: DataFrame, context: int, before: int | None = 64, after: int | None = 32) -> DataFrame:
+    """The last ``before`` dense points up to each gap's start and the first ``after`` from its end on, ends included; None: all."""
     hit = points_within(ends, dense, F.col("t0") - context, F.col("t1") + context, ["t", "event_id", "latitude", "longitude"]).where("t <= t0 OR t >= t1")
+    if before is None and after is None:
+        return hit
     side = F.col("t") <= F.col("t0")
     near = Window.partitionBy("segment_id", "first").orderBy(*[F.when(side, -F.col(c)).otherwise(F.col(c)) for c in ("t", "event_id")])
     rows = hit.withColumn("first", side).withColumn("__r", F.row_number().over(near))
-    return rows.where(F.col("__r") <= F.when(F.col("first"), before).otherwise(after)).drop("__r", "first")
+    return rows.where(F.col("__r") <= F.when(F.col("first"), before or 1 << 31).otherwise(after or 1 << 31)).drop("__r", "first")
 
 
-def context_measurements(dense: DataFrame, ends: DataFrame, context: int, before: int = 64, after: int = 32) -> DataFrame:
+def context_measurements(dense: DataFrame, ends: DataFrame, context: int, before: int | None = 64, after: int | None = 32) -> DataFrame:
     """The points of ``context_points``, one a time: that of the largest event_id."""
     last = Window.partitionBy("segment_id", "t").orderBy(F.desc("event_id"))
     return context_points(dense, ends, context, before, after).withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")

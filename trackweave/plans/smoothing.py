@@ -8,8 +8,9 @@ from ..operators import numbering as N
 from ..operators import smoother as Z
 from ..operators import tracks as K
 from ..sources.reports import points
-from ..sources.tables import stage
-from .queries import _BASE, _CTE, CONTEXT, _anc, _brg, _gc, _hav, _pts, _seg, query, r
+from ..sources.tables import shared_folder, stage
+from ..streaming.stateful import stream_smoothed
+from .queries import _BASE, _CTE, CONTEXT, HOUR, _anc, _brg, _gc, _hav, _pts, _seg, query, r
 
 DEFAULT = (2000.0, 0.001, 0.01)  # fixed values: measurement std (m), acceleration std along and across (m/s2)
 _P = "PARTITION BY segment_id"
@@ -123,3 +124,28 @@ def kalman_run(spark, d):
     s = Z.summarize_split(_waypoints(spark, d, best, rows).where("split IN ('val', 'test')"))
     names = ("measurement_std_m", "accel_along", "accel_cross")
     return s.select("split", "n_flights", *[r(c, 4) for c in (*_MEANS, "kalman_p90_error_km", "baseline_p90_error_km", *_BETTER)], *[F.lit(v).alias(n) for n, v in zip(names, best)])
+
+
+@query(_smoothed_sql(DEFAULT, 10**9, 10**9) + f"SELECT segment_id, event_id, round({_hav('latitude', 'longitude', 'smooth_lat', 'smooth_lon')} / 1000, 4) AS km FROM placed", cte=False)
+def kalman_native(spark, d):
+    """Errors of each report with all dense reports as they are for context, on demand and for any flight."""
+    ends, truth = _anc(spark, d), _pts(spark, d)
+    rows = Z.gap_rows(Z.context_measurements(points(spark, d, "adsb"), ends, CONTEXT, None, None), truth, ends)
+    return Z.errors(Z.positions(Z.smooth_gaps(rows, [DEFAULT]), ends), truth).select("segment_id", "event_id", r("km", 4))
+
+
+_LATE = 4 * HOUR
+
+
+@query(_smoothed_sql(DEFAULT) + f"SELECT segment_id, event_id, round(along_m, 2) AS along_m, round(cross_m, 2) AS cross_m FROM smooth JOIN anc USING (segment_id) WHERE t1 + {CONTEXT} < (SELECT max(t) // 1000 * 1000 FROM line) - {_LATE}", cte=False)
+def stream_kalman(spark, d):
+    """The smoother as a stream in two runs: forward as reports come, back when a gap closes."""
+    out, ends = shared_folder(spark), _anc(spark, d)
+    rows = _gap_rows(spark, d).join(ends.select("segment_id", (F.col("t1") + CONTEXT).alias("until")), "segment_id").withColumn("time", F.timestamp_micros("t"))
+    rows = stage(rows)
+    last = rows.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    middle = ((last.a or 0) + (last.b or 0)) // 2
+    for run in (F.col("t") < middle, F.col("t") >= middle):
+        rows.where(run).write.mode("append").parquet(f"{out}/rows")
+        got = stream_smoothed(spark.readStream.schema(rows.schema).parquet(f"{out}/rows"), DEFAULT, f"{out}/places", f"{out}/state")
+    return got.select("segment_id", "event_id", r("along_m", 2), r("cross_m", 2))
