@@ -95,12 +95,6 @@ def distinct_rows(spark, d):
     return e.unionByName(e).dropDuplicates()
 
 
-@query("SELECT segment_id FROM seg WHERE substr(segment_id, 1, 8) NOT IN ('20240103', '20240104')")
-def resume_antijoin(spark, d):
-    done = spark.createDataFrame([("20240103",), ("20240104",)], "day string")
-    return _seg(spark, d).withColumn("day", F.substring("segment_id", 1, 8)).join(F.broadcast(done), "day", "left_anti").select("segment_id")  # one row a finished day
-
-
 # order and quality
 
 
