@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -75,6 +75,62 @@ def seeded_weights(seed: int = 42, hidden: int = 160, layers: int = 2) -> dict[s
     return {k: np.ones(s) if k == "norm.w" else np.zeros(s) if len(s) == 1 else rng.normal(0, 1 / np.sqrt(s[1]), s) for k, s in shapes(hidden, layers).items()}
 
 
+def write_weights(spark: SparkSession, weights: dict[str, np.ndarray], path: str) -> None:
+    """The weights as a table: a row a tensor, of a number of values that the sizes fix."""
+    rows = [(name, list(w.shape), np.asarray(w, float).ravel().tolist()) for name, w in weights.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").coalesce(1).write.parquet(path)
+
+
+def checked(weights: dict[str, np.ndarray], hidden: int, layers: int) -> dict[str, np.ndarray]:
+    """``weights``, if they are those of a network of these sizes and all finite; else an error that says what is wrong."""
+    want = shapes(hidden, layers)
+    wrong = [f"{k}: not there" for k in want.keys() - weights.keys()] + [f"{k}: not of this network" for k in weights.keys() - want.keys()]
+    wrong += [f"{k}: shape {weights[k].shape} instead of {want[k]}" for k in want.keys() & weights.keys() if weights[k].shape != want[k]]
+    wrong += [f"{k}: not finite" for k in want.keys() & weights.keys() if not np.isfinite(weights[k]).all()]
+    if wrong:
+        raise ValueError("; ".join(sorted(wrong)))
+    return weights
+
+
+_LOADED: dict[tuple, dict[str, np.ndarray]] = {}
+
+
+def load_weights(path: str, hidden: int = 160, layers: int = 2) -> dict[str, np.ndarray]:
+    """The weights at ``path``, read once in a process and checked against the sizes."""
+    if (path, hidden, layers) not in _LOADED:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path)
+        table = ds.dataset(folder, filesystem=store, format="parquet", exclude_invalid_files=True).to_table()
+        rows = zip(table["name"].to_pylist(), table["shape"].to_pylist(), table["values"])
+        _LOADED[path, hidden, layers] = checked({name: np.asarray(v.values.to_numpy(zero_copy_only=False)).reshape(shape) for name, shape, v in rows}, hidden, layers)
+    return _LOADED[path, hidden, layers]
+
+
+#: Arrays of a sample, their features and lengths (fixed values: steps before and after, waypoints).
+TENSORS = {"before_seq": FEATURES, "before_mask": None, "after_seq": FEATURES, "after_mask": None}
+
+
+def write_tensors(rows: DataFrame, path: str) -> None:
+    """Samples with a ``split`` as arrays of 32-bit floats, in a folder a split."""
+    cast = {c: F.col(c).cast("array<array<float>>" if wide else "array<float>") for c, wide in TENSORS.items()}
+    rows.withColumns(cast).write.partitionBy("split").parquet(path)
+
+
+def read_tensors(spark: SparkSession, path: str, split: str | None = None, before: int = 64, after: int = 32) -> DataFrame:
+    """What `write_tensors` wrote, of one split or all; an array of another shape is an error where it is met."""
+    rows = spark.read.parquet(path)
+    rows = rows if split is None else rows.where(F.col("split") == split)
+    for c, wide in TENSORS.items():
+        size = before if c.startswith("before") else after
+        right = F.size(c) == size
+        if wide:
+            right = right & F.forall(c, lambda x: F.size(x) == wide)  # noqa: B023
+        rows = rows.withColumn(c, F.when(right, F.col(c)).otherwise(F.raise_error(F.lit(f"{c}: not of {size} steps"))))
+    return rows
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -138,12 +194,13 @@ def forward(w: dict, before: np.ndarray, before_mask: np.ndarray, after: np.ndar
     return _gelu(_gelu(x) @ w["head.w_1"].T + w["head.b_1"]) @ w["head.w_2"].T + w["head.b_2"]
 
 
-def infer(table: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+def infer(table: DataFrame, weights: dict[str, np.ndarray] | str, hidden: int = 160, layers: int = 2) -> DataFrame:
     """(segment_id, event_id, latitude, longitude, altitude_ft) for each waypoint of ``samples``.
 
-    The weights are broadcast once: their number is fixed by the sizes (about 8 MB), not by the data.
+    ``weights`` is the path of a weights table, which each worker reads once, or the weights themselves, which are broadcast:
+    their number is fixed by the sizes (about 8 MB), not by the data.
     """
-    shared = table.sparkSession.sparkContext.broadcast(weights)
+    shared = None if isinstance(weights, str) else table.sparkSession.sparkContext.broadcast(weights)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grid = lambda c: np.stack([np.stack(v) for v in c])
@@ -154,7 +211,7 @@ def infer(table: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
             way = np.zeros((len(f), n.max(), 3))
             for i, parts in enumerate(zip(f["way_tau"], f["way_base_lat"], f["way_base_lon"])):
                 way[i, : n[i]] = np.stack(parts, axis=1)
-            r = forward(shared.value, grid(f["before_seq"]), np.stack(f["before_mask"]), grid(f["after_seq"]), np.stack(f["after_mask"]), f["gap_seconds"].to_numpy(), way)
+            r = forward(shared.value if shared else load_weights(weights, hidden, layers), grid(f["before_seq"]), np.stack(f["before_mask"]), grid(f["after_seq"]), np.stack(f["after_mask"]), f["gap_seconds"].to_numpy(), way)
             on = np.arange(n.max())[None] < n[:, None]
             yield pd.DataFrame({
                 "segment_id": np.repeat(f["segment_id"].to_numpy(), n), "event_id": np.concatenate(list(f["way_event_id"])),
