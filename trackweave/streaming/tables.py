@@ -21,7 +21,7 @@ def written(rows: DataFrame, out: str) -> DataFrame:
     """What batches have written to ``out``, in the columns of ``rows``; nothing, if no batch had a row."""
     spark = rows.sparkSession
     try:
-        return spark.read.parquet(out).select(*[F.col(f.name).cast(f.dataType) for f in rows.schema.fields])
+        return spark.read.schema(rows.schema).parquet(out).select(*rows.columns)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
