@@ -131,3 +131,19 @@ def test_no_conversations(spark):
     lost = spark.createDataFrame([(c, t, "user", "x.") for c in range(40) for t in range(1) if zlib.crc32(f"{c}:{t}".encode()) % 20 == 0], "conv_id long, turn long, role string, text string")
     rows = dialogues.audit(lost).collect()
     assert rows and all(tuple(r)[1:] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()) for r in rows)
+
+
+def test_sql_of_odd_rows(spark, sf_dir):
+    """The SQL gives what the plain pass gives."""
+    import duckdb
+    import pandas as pd
+
+    from trackweave.llm.queries import OP11_SQL
+
+    rows = rows_of(spark, sf_dir)
+    con = duckdb.connect()
+    con.register("t", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    con.sql("CREATE VIEW conversations AS SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM t")
+    got = {r[0]: tuple(r[1:]) for r in con.sql(OP11_SQL).fetchall()}
+    want = plain([r for r in rows if r[0] != 99])
+    assert all(got[c] == want[c] for c in want)

@@ -92,6 +92,34 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+raw AS (SELECT conv_id, coalesce('=' || conv_id, '') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+way AS (SELECT raw.*, xor(list_reduce(list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda h, b: xor(h >> 8, t[CAST(xor(h, b) & 255 AS INTEGER) + 1]), 4294967295), 4294967295) % 20 AS way FROM raw, crc),
+dam AS (SELECT c, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN way = 3 THEN 2 ELSE 1 END)) AS k FROM way WHERE way <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || ':' || text), k) AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank FROM dam),
+fau AS (SELECT *, CASE WHEN blank THEN 'b' WHEN row_number() OVER (PARTITION BY c, blank, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS ini FROM num),
+cnt AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE prev || ini NOT IN ('su', 'ua', 'au')) AS illegal
+ FROM (SELECT *, lag(ini) OVER (PARTITION BY c ORDER BY i) AS prev FROM fau) GROUP BY c),
+ops AS (SELECT * FROM (VALUES (0, 'D', '', 0, 3), (1, 'D', '', 1, 3), (2, 'D', '', 2, 3), (3, 'D', '', 3, 3), (0, 'R', '', 2, 2), (1, 'R', '', 2, 2), (2, 'R', '', 3, 2), (3, 'R', '', 2, 2), (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (3, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0)) v(q, e, ini, q2, cost)),
+ins AS (SELECT * FROM (VALUES (0, '', 0, 0, []::VARCHAR[]), (1, '', 1, 0, []), (2, '', 2, 0, []), (3, '', 3, 0, []), (0, 'I', 2, 2, ['user:']), (1, 'I', 2, 2, ['user:']), (2, 'I', 3, 2, ['assistant:']), (3, 'I', 2, 2, ['user:']), (0, 'II', 3, 4, ['user:', 'assistant:']), (1, 'II', 3, 4, ['user:', 'assistant:'])) v(q, e, q2, cost, more)),
+dp AS (SELECT c, 0::BIGINT AS i, q2 AS q, printf('%09d', cost) || e AS s, more AS lines FROM cnt, ins WHERE q = 0
+ UNION ALL
+ SELECT c, i, q2, min(s2), arg_min(lines2, s2) FROM (
+  SELECT c, i, n.q2, printf('%09d', CAST(s[1:9] AS INTEGER) + n.cost) || s[10:] || n.e AS s2, list_concat(lines, n.more) AS lines2 FROM (
+   SELECT c, i, q2 AS q, min(s1) AS s, arg_min(lines1, s1) AS lines FROM (
+    SELECT d.c, f.i, o.q2, printf('%09d', CAST(d.s[1:9] AS INTEGER) + o.cost + CASE WHEN o.e <> 'D' AND f.fault = 't' THEN 1 ELSE 0 END) || d.s[10:] || o.e AS s1,
+     CASE o.e WHEN 'D' THEN d.lines WHEN 'K' THEN list_append(d.lines, f.role || ':' || f.text) ELSE list_append(d.lines, CASE o.q2 WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text) END AS lines1
+    FROM dp d JOIN fau f ON f.c = d.c AND f.i = d.i + 1 JOIN ops o ON o.q = d.q AND (o.e = 'D' OR (f.fault NOT IN ('b', 'd') AND (o.e = 'R' OR o.ini = f.ini)))
+   ) GROUP BY c, i, q2
+  ) p JOIN ins n ON n.q = p.q
+ ) GROUP BY c, i, q2),
+fin AS (SELECT c, min(s) AS s, arg_min(lines, s) AS lines FROM dp JOIN cnt USING (c) WHERE dp.i = cnt.n AND q IN (0, 3) GROUP BY c)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+ coalesce(CAST(s[1:9] AS BIGINT), 0) AS cost, coalesce(s[10:], '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM raw) o LEFT JOIN cnt USING (c) LEFT JOIN fin USING (c)
+"""
+
 OP12_SQL = """
 WITH v AS (SELECT row_number() OVER () AS rid, vec_id, len(embedding) AS d, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
   FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
@@ -117,4 +145,4 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT *, ro
 
 def oracle_sql() -> dict[str, str]:
     """Windows of words can be searched for in SQL; XXH64, token ids, fitted models, packings and graphs are tested by brute force."""
-    return {"op8_wu_manber": OP8_SQL, "op12_impact_topk": OP12_SQL, "op13_collocations": OP13_SQL}
+    return {"op8_wu_manber": OP8_SQL, "op11_conversations": OP11_SQL, "op12_impact_topk": OP12_SQL, "op13_collocations": OP13_SQL}
