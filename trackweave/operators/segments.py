@@ -42,6 +42,12 @@ def build_segments(sessions: DataFrame, least: int = 2) -> DataFrame:
     )
 
 
+def first_callsign(points: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, callsign): the first known one in order of time, without white space around it; a blank one is none."""
+    first = points.where(F.col(name).isNotNull()).groupBy(*keys).agg(F.min_by(name, F.struct("t", "event_id")).alias("callsign"))
+    return first.withColumn("callsign", F.nullif(F.trim("callsign"), F.lit("")))
+
+
 def range_screen(segments: DataFrame, dense: DataFrame, context: int, bucket: int = 24 * HOUR) -> DataFrame:
     """Counts of dense points before, during and after each segment, and the times next to it.
 

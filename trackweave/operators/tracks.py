@@ -101,6 +101,14 @@ def anchors(points: DataFrame, segments: DataFrame, context: int) -> DataFrame:
     return got.select("segment_id", "icao24", "seq", *[F.col(f"{s}.{c}").alias(f"{n}{i}") for s, i in (("a", 0), ("b", 1)) for c, n in (("t", "t"), ("latitude", "lat"), ("longitude", "lon"))])
 
 
+def anchor_values(points: DataFrame, segments: DataFrame, context: int, columns: dict[str, str]) -> DataFrame:
+    """(segment_id, before_anchor_*, after_anchor_*): values of ``columns`` at the last dense point before and the first after each segment."""
+    hit = points_within(segments.select("segment_id", "icao24", "s0", "s1"), points, F.col("s0") - context, F.col("s1") + context, ["t", "event_id", *columns])
+    at = F.struct("t", "event_id")
+    sides = (("before", F.max_by, F.col("t") < F.col("s0")), ("after", F.min_by, F.col("t") > F.col("s1")))
+    return hit.groupBy("segment_id").agg(*[pick(c, F.when(on, at)).alias(f"{side}_anchor_{n}") for c, n in columns.items() for side, pick, on in sides])
+
+
 def baseline(points: DataFrame, ends: DataFrame) -> DataFrame:
     """Great-circle position at each point's time, and its distance from the point."""
     j = points.join(ends, ["icao24", "seq"])
