@@ -21,7 +21,7 @@ import pyarrow as pa
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pieces that a worker keeps; beyond, those met again since the last time stay.
-MEMO = 1_200_000
+MEMO = 900_000
 #: Bytes of text cut at a time, and bytes of a piece up to which it is worth a place in the memo.
 WINDOW = 1 << 21
 LONGEST = 23
@@ -349,13 +349,18 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for ``path``: Python workers serve many tasks, so the memo stays."""
+    """The worker's encoder for ``path``: Python workers serve many tasks, so the memo stays until `release`."""
     held = sys.modules[__name__].__dict__.setdefault("_HELD", {})
     if path not in held:
         held[path] = Encoder(path)
     return held[path]
 
 
+def release() -> None:
+    """Drop the worker's encoders: tasks of another kind, which the same worker runs later, need the memory."""
+    sys.modules[__name__].__dict__.get("_HELD", {}).clear()
+
+
 def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     """One binary value a text of its little-endian ids."""
     ends = np.concatenate(([0], np.cumsum(counts))) * ids.itemsize

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import add_columns
-from .tokens import in_slices
+from .tokens import in_slices, release
 
 #: Labelled rows a class that are fitted on: those first by a hash of their id.
 TRAIN_ROWS = 1500
@@ -264,6 +264,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def factory():
+        release()
         model = shared.value
         held: dict[str, float] = {}
 
