@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import dealt_blocks, fresh_path, materialize, pairs_of, read_block
 
 DEGREE, ALPHA, BEAM_BUILD, BEAM = 32, 1.2, 48, 64
-SHARD_ROWS, QUERY_ROWS = 16_384, 16_384
+SHARD_ROWS, QUERY_ROWS, TASKS = 16_384, 4_096, 50_000
 
 
 def beam_search(x: np.ndarray, sq: np.ndarray, graph: np.ndarray, entry: int, q: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -224,39 +224,32 @@ def _answers(held: tuple, q: np.ndarray, names: np.ndarray, k: int, beam: int) -
 def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(qnode, best): for each distinct query vector the k + 1 best (score, id), found by beam search in every shard of its length.
 
-    ``queries``: qnode, q. Those of a shard are dealt into blocks of about ``query_rows``; the task of a block
-    reads the shard's file once and streams its queries through it, so that neither grows with the input.
+    ``queries``: qnode, q, dealt into files of about ``query_rows``. The pairs of a shard and a file are a table of numbers:
+    a task reads both, so that neither grows with the input and no query is shuffled once for each shard.
     """
-    n = queries.count()
-    if not index.first or not n:
+    asked, blocks = dealt_blocks(queries.select("qnode", "q"), "qnode", "q", query_rows, "asked")
+    total, pair_of = pairs_of(index.first, blocks)
+    if not total:
         return queries.limit(0).selectExpr("qnode", "CAST(NULL AS array<struct<s: double, id: bigint>>) AS best")
-    blocks = max(1, -(-n // query_rows))
-    shards, path = sum(c for _, c in index.first.values()), index.path
-    deal = _by_length(F.size("q"), index.first)
-    # the stated query set against every shard
-    asked = queries.select("qnode", "q", F.explode(F.sequence(deal["first"], deal["first"] + deal["shards"] - 1)).alias("shard"))
-    asked = asked.repartition(shards * blocks, "shard", F.pmod(F.xxhash64("qnode"), F.lit(blocks))).sortWithinPartitions("shard")
+    path = index.path
 
     def run(batches):
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
         held = (None,)
         for batch in batches:
-            shard = batch.column("shard").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-            for i, j in zip(cuts, cuts[1:]):
-                if j == i:
-                    continue
-                if held[0] != shard[i]:
-                    store, place = fs.FileSystem.from_uri(path)
-                    own = [f.path for f in store.get_file_info(fs.FileSelector(f"{place}/shard={shard[i]}")) if f.path.endswith(".parquet")]
-                    a = pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read(columns=["node", "v", "near", "pos", "entry"]) for f in own]).sort_by("pos")
+            for k_pair in batch.column(0).to_pylist():
+                shard, block = pair_of(k_pair)
+                if held[0] != shard:
+                    a = read_block(path, shard, ["node", "v", "near", "pos", "entry"], "shard")
+                    if not a.num_rows:
+                        continue
+                    a = a.sort_by("pos")
                     x, near = _matrix(a["v"]), _matrix(a["near"]).astype(np.int64)
-                    held = (shard[i], x, x.astype(np.float32), np.concatenate((near, np.full((1, near.shape[1]), len(x), np.int64))), a["node"].to_numpy(), int(a["entry"][0].as_py()))
-                yield _answers(held, _matrix(batch.column("q").slice(i, j - i)), batch.column("qnode").to_numpy()[i:j], k, beam)
+                    held = (shard, x, x.astype(np.float32), np.concatenate((near, np.full((1, near.shape[1]), len(x), np.int64))), a["node"].to_numpy(), int(a["entry"][0].as_py()))
+                q = read_block(asked, block, ["qnode", "q"])
+                if q.num_rows:
+                    yield _answers(held, _matrix(q["q"]), q["qnode"].to_numpy(), k, beam)
 
-    found = asked.mapInArrow(run, "qnode long, node long, score double")
+    found = queries.sparkSession.range(0, total, 1, min(total, TASKS)).mapInArrow(run, "qnode long, node long, score double")
     first = Window.partitionBy("qnode").orderBy(F.desc("score"), "node")
     top = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     ids = top.join(index.rows.select("node", "members"), "node").select("qnode", F.transform("members", lambda m: F.struct((-F.col("score")).alias("s"), m.alias("id"))).alias("m"))

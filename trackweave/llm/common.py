@@ -80,6 +80,50 @@ def add_columns(
     return source.mapInArrow(run, schema)
 
 
+Spans = dict[int, tuple[int, int]]
+
+
+def dealt_blocks(rows: DataFrame, key: str, vector: str, each: int, name: str) -> tuple[str, Spans]:
+    """``rows`` as files of about ``each`` by a hash of ``key``, a folder a block; for each length of vectors its first block and their number."""
+    counts = rows.groupBy(F.size(vector).alias("dim")).count().orderBy("dim").collect()  # a row a length
+    first, at = {}, 0
+    for r in counts:
+        first[r["dim"]] = (at, max(1, -(-r["count"] // each)))
+        at += first[r["dim"]][1]
+    path = fresh_path(rows.sparkSession, name)
+    pairs = [x for dim, (a, n) in first.items() for x in (F.lit(dim), F.struct(F.lit(a).alias("first"), F.lit(n).alias("n")))]
+    if pairs:
+        deal = F.element_at(F.create_map(*pairs), F.size(vector))
+        block = (deal["first"] + F.pmod(F.xxhash64(key), deal["n"])).cast("int")
+        rows.withColumn("block", block).repartition(at, "block").write.partitionBy("block").parquet(path)
+    return path, first
+
+
+def read_block(path: str, block: int, columns: list[str], by: str = "block") -> pa.Table:
+    """The rows of one block, in a task; none, if it has no file."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    files = [f.path for f in store.get_file_info(fs.FileSelector(f"{place}/{by}={block}", allow_not_found=True)) if f.path.endswith(".parquet")]
+    return pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read(columns=columns) for f in files]) if files else pa.table({c: [] for c in columns})
+
+
+def pairs_of(shards: Spans, blocks: Spans) -> tuple[int, Callable[[int], tuple[int, int]]]:
+    """How many pairs of a shard and a block of one length of vectors there are, and the pair of a number; those of a shard follow each other."""
+    spans, total = [], 0
+    for dim, (b, n) in blocks.items():
+        if dim in shards:
+            spans.append((total, shards[dim][0], b, n))
+            total += n * shards[dim][1]
+
+    def pair(k: int) -> tuple[int, int]:
+        begin, shard, block, n = max(s for s in spans if s[0] <= k)
+        return shard + (k - begin) // n, block + (k - begin) % n
+
+    return total, pair
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges(u, v)``; root is the smallest node of the component.
 

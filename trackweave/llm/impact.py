@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import dealt_blocks, fresh_path, materialize, pairs_of, read_block
 
 LEVELS = 256
 SHARD_ROWS, QUERY_ROWS, TASKS = 16_384, 2_048, 50_000
@@ -125,38 +125,13 @@ def usable(vectors: DataFrame, vector_col: str, id_col: str) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"))
 
 
-def _dealt(rows: DataFrame, each: int, name: str) -> tuple[str, dict[int, tuple[int, int]]]:
-    """Rows as files of about ``each``, a folder a block; for each length of vectors its first block and their number."""
-    counts = rows.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()
-    first, at = {}, 0
-    for r in counts:
-        first[r["dim"]] = (at, max(1, -(-r["count"] // each)))
-        at += first[r["dim"]][1]
-    path = fresh_path(rows.sparkSession, name)
-    pairs = [x for dim, (a, n) in first.items() for x in (F.lit(dim), F.struct(F.lit(a).alias("first"), F.lit(n).alias("n")))]
-    if pairs:
-        deal = F.element_at(F.create_map(*pairs), F.size("v"))
-        block = (deal["first"] + F.pmod(F.xxhash64("row"), deal["n"])).cast("int")
-        rows.withColumn("block", block).repartition(at, "block").write.partitionBy("block").parquet(path)
-    return path, first
-
-
-def _read(path: str, block: int, columns: list[str]) -> pa.Table:
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    store, place = fs.FileSystem.from_uri(path)
-    files = [f.path for f in store.get_file_info(fs.FileSelector(f"{place}/block={block}", allow_not_found=True)) if f.path.endswith(".parquet")]
-    return pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read(columns=columns) for f in files]) if files else pa.table({c: [] for c in columns})
-
-
 def _postings(spark: SparkSession, path: str, shards: int) -> str:
     """The postings of every shard, written beside its rows: a row a component, places in the order of ``row``."""
 
     def build(batches):
         for b in batches:
             for block in b.column(0).to_pylist():
-                t = _read(path, block, ["row", "v"]).sort_by("row")
+                t = read_block(path, block, ["row", "v"]).sort_by("row")
                 x = whole(_matrix(t["v"], t.num_rows))
                 if not t.num_rows or x.dtype == object:
                     continue  # searched without postings
@@ -178,12 +153,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_
     shard and a block are a table of numbers, so that no vector is shuffled once for each shard.
     """
     spark = rows.sparkSession
-    path, shards = _dealt(rows, shard_rows, "shards")
-    asked, blocks = _dealt(queries, query_rows, "asked")
-    spans, total = [], 0  # (first pair, first shard, shards, first block) of each length
-    for dim, (b, n) in blocks.items():
-        spans.append((total, *shards[dim], b))
-        total += n * shards[dim][1]
+    path, shards = dealt_blocks(rows, "row", "v", shard_rows, "shards")
+    asked, blocks = dealt_blocks(queries, "row", "v", query_rows, "asked")
+    total, pair_of = pairs_of(shards, blocks)
     if not total:
         return spark.createDataFrame([], "qrow long, query_id long, vec_id long, score long")
     index = _postings(spark, path, sum(n for _, n in shards.values()))
@@ -192,18 +164,17 @@ def search(rows: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_
         held: tuple = (None,)
         for b in batches:
             for pair in b.column(0).to_pylist():
-                begin, shard, n, block = max(s for s in spans if s[0] <= pair)
-                block, shard = block + (pair - begin) // n, shard + (pair - begin) % n
+                shard, block = pair_of(pair)
                 if held[0] != shard:
-                    t = _read(path, shard, ["row", "id", "v"]).sort_by("row")
+                    t = read_block(path, shard, ["row", "id", "v"]).sort_by("row")
                     x = whole(_matrix(t["v"], t.num_rows))
-                    p = _read(index, shard, ["c", "low", "step", "post"]).sort_by("c")
+                    p = read_block(index, shard, ["c", "low", "step", "post"]).sort_by("c")
                     ready = Shard.read(x, p["low"].to_numpy(), p["step"].to_numpy(), _matrix(p["post"], p.num_rows)) if p.num_rows else None
                     held = (shard, x, t["row"].to_numpy(), t["id"].to_numpy(), ready, float(np.abs(x).max(initial=0)) if x.dtype != object else np.inf)
                 _, x, names, ids, ready, far = held
                 if not len(x):
                     continue
-                t = _read(asked, block, ["row", "id", "v"]).sort_by("row")
+                t = read_block(asked, block, ["row", "id", "v"]).sort_by("row")
                 q = whole(_matrix(t["v"], t.num_rows))
                 out: list[list] = [[], [], [], []]
                 for own, name, vector in zip(t["row"].to_pylist(), t["id"].to_pylist(), q):
