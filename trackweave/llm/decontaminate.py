@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, materialize
 
 WINDOW = 10
 #: Benchmark texts are searched in blocks of about so many bytes, each shipped to all tasks.
@@ -57,6 +57,9 @@ class Patterns:
                 yield i, items
             i += 1
 
+#: Blocks that are searched for in one stage; then what was found is written.
+PASSES = 4
+
 
 def build(items: list[tuple[str, str]], window: int = WINDOW) -> list[Patterns]:
     by_length: dict[int, dict[tuple[bytes, ...], frozenset[str]]] = defaultdict(dict)
@@ -136,6 +139,8 @@ def benchmark_overlap(
 
             return run
 
+        if k and k % PASSES == 0:  # so many blocks to a stage: each has a Python worker with its tables
+            out = materialize(out, "searched")
         out = add_columns(out, [name] + ([] if k == 0 else ["item_ids", "hit_spans"]), fields, factory, keep=[*kept, *([name] if k + 1 < blocks and not again else [])])
     return out
 
