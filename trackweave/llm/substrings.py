@@ -317,6 +317,22 @@ def repeated_spans(docs: DataFrame, uid: str, text: str, length: int = LENGTH, g
     return whole.unionByName(span(looked.where("lo IS NOT NULL"))).unionByName(often)
 
 
+def identified(rows: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``uid``, a hash of ``bits`` of ``__text`` that no two different texts share, and (uid, n), the rows of each.
+
+    Texts of one hash are told apart by SHA-256; where there are any, another seed is taken for all.
+    """
+    seed = 0
+    while True:
+        hashed = F.xxhash64(F.lit(seed), "__text")
+        own = rows.withColumn("uid", hashed if bits == 64 else F.pmod(hashed, F.lit(1 << bits)))
+        digest = F.sha2("__text", 256)
+        counts = materialize(own.groupBy("uid").agg(F.count("*").alias("n"), F.min(digest).alias("a"), F.max(digest).alias("b")).select("uid", "n", (F.col("a") != F.col("b")).alias("clash")), "texts")
+        if counts.where("clash").isEmpty():
+            return own, counts.select("uid", "n")
+        seed += 1
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", contexts: int = CONTEXTS, hot: int = HOT) -> DataFrame:
     """Of each document: id, n_bytes, n_removed, n_spans, kept (the remaining bytes), removed (spans), kept_sha256.
 
@@ -324,9 +340,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     document or another; strings are judged on the input. Null texts are empty; texts shorter than
     ``length`` stay; rows with equal id and text are documents of their own, and so remove each other.
     """
-    d = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("uid"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    d, counts = identified(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")))
     # of equal texts one is searched: each string of a text that is there twice is repeated
-    copied = materialize(d.groupBy("uid").count().where(F.col("count") > 1).select("uid"), "copied")
+    copied = counts.where("n > 1").select("uid")
     side = F.broadcast(copied) if copied.count() <= COPIED else copied  # 8 bytes a row
     alone, copies = d.join(side, "uid", "left_anti"), d.join(side, "uid", "left_semi")
     one = materialize(copies.where(F.octet_length("__text") >= length).groupBy("uid").agg(F.first("__text").alias("__text")), "texts")
