@@ -11,6 +11,7 @@ from ..sources.reports import points
 from ..sources.tables import shared_folder, stage
 from ..streaming.stateful import stream_smoothed
 from .queries import _BASE, _CTE, CONTEXT, HOUR, _anc, _brg, _gc, _hav, _pts, _seg, query, r
+from .reconstruct import _gap_rows
 
 DEFAULT = (2000.0, 0.001, 0.01)  # fixed values: measurement std (m), acceleration std along and across (m/s2)
 _P = "PARTITION BY segment_id"
@@ -56,11 +57,6 @@ placed AS (SELECT segment_id, event_id, latitude, longitude, degrees(la) AS smoo
 """
 
 
-def _gap_rows(spark, d):
-    ends = _anc(spark, d)
-    return Z.gap_rows(Z.context_measurements(points(spark, d, "adsb"), ends, CONTEXT), _pts(spark, d), ends)
-
-
 @query(_smoothed_sql(DEFAULT) + "SELECT segment_id, event_id, round(smooth_lat, 4) AS smooth_lat, round(smooth_lon, 4) AS smooth_lon FROM placed", cte=False)
 def kalman_gap(spark, d):
     """Each sparse report's place as smoothed along and across the great circle, by the default parameters."""
