@@ -111,3 +111,20 @@ def test_filter_as_a_stream_equals_the_batch(spark, tmp_path):
     want = Z.smooth_gaps(spark.createDataFrame(rows, schema).drop("until"), [params])
     a, b = ({(r.segment_id, r.event_id): (r.along_m, r.cross_m) for r in x.collect()} for x in (got, want))
     assert a.keys() == b.keys() and len(a) > 40 and all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_alerts_follow_the_newest_statistics(spark, tmp_path):
+    from trackweave.operators import monitor as M
+
+    schema, told = "month string, n long, gap double", None
+    none = spark.createDataFrame([], "month string, n_flights long, improvement double")
+    first = [(f"m{i}", 1, 10.0) for i in range(4)] + [("m9", 100, 10.0)]
+    for rows in (first, [(f"m{i}", 99, 20.0) for i in range(1, 4)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stats = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").groupBy("month").agg(F.sum("n").alias("n_segments"), F.max("gap").alias("mean_gap_min"))
+        told = Y.stream_alerts(stats, ["month"], lambda latest: M.alerts(latest, none), f"{tmp_path}/out", f"{tmp_path}/state")
+        if rows is first:
+            assert {(r.type, r.month) for r in told.collect()} == {("LOW_COVERAGE", f"m{i}") for i in range(4)}
+    assert {(r.type, r.month) for r in told.collect()} == {("LOW_COVERAGE", "m0")}
+    empty = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*none*").groupBy("month").agg(F.sum("n").alias("n_segments"), F.max("gap").alias("mean_gap_min"))
+    assert Y.stream_alerts(empty, ["month"], lambda latest: M.alerts(latest, none), f"{tmp_path}/o2", f"{tmp_path}/s2").count() == 0

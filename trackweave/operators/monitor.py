@@ -128,3 +128,17 @@ def flight_report(placed: DataFrame, ends: DataFrame, feet: float) -> DataFrame:
         "segment_id", "gap_duration_minutes", "n_waypoints", "anchor_dist_km", "smooth_dist_km", "true_dist_km", (F.col("smooth_dist_km") - F.col("anchor_dist_km")).alias("dist_diff_km"), (F.col("smooth_dist_km") * kg).alias("smooth_co2_kg"),
         (F.col("anchor_dist_km") * kg).alias("baseline_co2_kg"), ((F.col("smooth_dist_km") - F.col("anchor_dist_km")) * kg).alias("co2_diff_kg"), "mean_xt_km", "max_xt_km",
     )
+
+
+def reconstruction_report(track: DataFrame, method: DataFrame) -> DataFrame:
+    """Of each reconstructed flight (segment_id, t, source, latitude, longitude): points by source, lengths, first and last time, method.
+
+    The length of the gap is that of the steps that end or begin in it. ``method``: segment_id, method.
+    """
+    w = Window.partitionBy("segment_id").orderBy("t")
+    step = geo.haversine_m(F.lag("latitude").over(w), F.lag("longitude").over(w), F.col("latitude"), F.col("longitude")) / 1000
+    inside = (F.col("source") == "gap") | (F.lag("source").over(w) == "gap")
+    rows = track.withColumn("__step", step).withColumn("__in", F.coalesce(inside, F.lit(False)))
+    count = [F.count_if(F.col("source") == s).alias(f"n_{s}") for s in ("before", "gap", "after")]
+    lengths = [F.sum("__step").alias("total_km"), F.sum(F.when(F.col("__in"), F.col("__step")).otherwise(0.0)).alias("gap_km")]
+    return rows.groupBy("segment_id").agg(*count, *lengths, F.min("t").alias("first_t"), F.max("t").alias("last_t")).join(method, "segment_id")

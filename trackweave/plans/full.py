@@ -13,10 +13,12 @@ from ..operators import smoother as Z
 from ..operators import times as X
 from ..operators import tracks as K
 from ..sources.reports import points, reports
-from .queries import _ERR, CONTEXT, KEY, ORACLE, _anc, _brg, _hav, _pts, _seg, _sess, query, r
-from .reconstruct import W0, W1
+from ..sources.tables import shared_folder, stage
+from ..streaming import tables as Y
+from .queries import _ERR, CONTEXT, HOUR, KEY, ORACLE, _anc, _brg, _gc, _hav, _pts, _seg, _sess, query, r
+from .reconstruct import _HALF, _ST, W0, W1, _gap_rows
 from .sections import baseline_channels
-from .smoothing import _SPLITS, DEFAULT, _gap_rows, _smoothed_sql
+from .smoothing import _SPLITS, DEFAULT, _smoothed_sql
 
 # times
 
@@ -169,3 +171,42 @@ def point_rows(spark, d):
         "baseline_error_m": F.round("error_m", 3), "target_residual_east_m": F.round(east, 3), "target_residual_north_m": F.round((F.col("latitude") - F.col("base_lat")) * 111320, 3),
     }
     return rows.select("segment_id", *[c.alias(n) for n, c in shaped.items()])
+
+
+# service and monitor
+
+_LEAST = 10  # measured points of context that the smoother needs
+
+
+@query(f"""{_smoothed_sql(DEFAULT)}, enough AS (SELECT segment_id, count(*) >= {_LEAST} AS ok FROM ctx GROUP BY 1),
+parts AS (SELECT segment_id, t, CASE WHEN early THEN 0 ELSE 2 END AS n, latitude AS la, longitude AS lo FROM ctx1 UNION ALL SELECT segment_id, s.t, 1, smooth_lat, smooth_lon FROM placed JOIN asked s USING (segment_id, event_id) JOIN enough USING (segment_id) WHERE ok
+ UNION ALL SELECT segment_id, t0 + CAST(floor((t1 - t0) * i / (n - 1)) AS BIGINT), 1, {_gc('(i / (n - 1))')[0]}, {_gc('(i / (n - 1))')[1]} FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM (SELECT *, greatest(2, (t1 - t0) // {HOUR} + 1) AS n FROM anc JOIN enough USING (segment_id) WHERE NOT ok))),
+track AS (SELECT *, {_hav('pa', 'po', 'la', 'lo')} / 1000 AS km FROM (SELECT *, lag(la) OVER w AS pa, lag(lo) OVER w AS po, lag(n) OVER w AS pn FROM (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY segment_id, t ORDER BY n, la, lo) = 1) WINDOW w AS (PARTITION BY segment_id ORDER BY t)))
+SELECT segment_id, count(*) FILTER (WHERE n = 0) AS n_before, count(*) FILTER (WHERE n = 1) AS n_gap, count(*) FILTER (WHERE n = 2) AS n_after, round(sum(km), 4) AS total_km, round(coalesce(sum(km) FILTER (WHERE n = 1 OR pn = 1), 0), 4) AS gap_km, min(t) AS first_t, max(t) AS last_t, CASE WHEN ok THEN 'kalman' ELSE 'baseline' END AS method FROM track JOIN enough USING (segment_id) GROUP BY segment_id, ok""", cte=False)
+def reconstruct_report(spark, d):
+    """Each flight as a service gives it: smoothed where there is context enough, else along the great circle; points, lengths, times."""
+    ends, dense = _anc(spark, d), points(spark, d, "adsb")
+    near = stage(Z.context_points(dense, ends, CONTEXT))
+    enough = near.groupBy("segment_id").agg((F.countDistinct("t") >= _LEAST).alias("ok"))
+    method = enough.select("segment_id", F.when(F.col("ok"), "kalman").otherwise("baseline").alias("method"))
+    placed = Z.positions(Z.smooth_gaps(_gap_rows(spark, d), [DEFAULT]), ends).join(_pts(spark, d).select("event_id", "t"), "event_id")
+    smooth = placed.join(enough.where("ok"), "segment_id", "left_semi").select("segment_id", "t", F.col("smooth_lat").alias("latitude"), F.col("smooth_lon").alias("longitude"))
+    plain = K.dense_track(ends.join(enough.where("NOT ok"), "segment_id", "left_semi"), HOUR).withColumn("t", F.col("t0") + F.floor((F.col("t1") - F.col("t0")) * F.col("i") / (F.col("n") - 1)))
+    gap = smooth.unionByName(plain.select("segment_id", "t", "latitude", "longitude"))
+    full = M.full_track(near.where("t <= t0"), gap, near.where("t >= t1"))
+    return M.reconstruction_report(full, method).select("segment_id", "n_before", "n_gap", "n_after", r("total_km", 4), r("gap_km", 4), "first_t", "last_t", "method")
+
+
+@query(f"""SELECT 'LOW_COVERAGE' AS type, month, printf('Only %d segments (mean=%.0f). Possible ADS-C coverage gap.', n_segments, m) AS message, 'WARNING' AS severity FROM (SELECT *, avg(n_segments) OVER () AS m FROM ({_ST})) WHERE n_segments < m * 0.3
+ UNION ALL SELECT 'GAP_DURATION_TREND', 'overall', printf('Average gap duration increased from %.0fmin to %.0fmin. Possible ADS-C reporting change.', f, l), 'INFO' FROM ({_HALF}) WHERE n >= 4 AND l > 1.3 * f""")
+def stream_alerts(spark, d):
+    """Statistics by period and the alerts they give, kept up to date as segments come in two runs."""
+    out = shared_folder(spark)
+    seg = stage(_seg(spark, d).select("segment_id", "gap_minutes", "seq"))
+    for run in (F.col("seq") % 2 == 1, F.col("seq") % 2 == 0):
+        seg.where(run).write.mode("append").parquet(f"{out}/segments")
+        rows = spark.readStream.schema(seg.schema).parquet(f"{out}/segments")
+        stats = rows.groupBy(F.substring("segment_id", 1, 8).alias("month")).agg(F.count("*").alias("n_segments"), F.avg("gap_minutes").alias("mean_gap_min"))
+        none = spark.createDataFrame([], "month string, n_flights long, improvement double")
+        got = Y.stream_alerts(stats, ["month"], lambda latest: M.alerts(latest, none), f"{out}/told", f"{out}/state")  # noqa: B023
+    return got

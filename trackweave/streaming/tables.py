@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,3 +59,23 @@ def stream_latest(counts: DataFrame, keys: list[str], out: str, checkpoint: str)
     finish(counts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start())
     w = Window.partitionBy(*keys).orderBy(F.desc("batch"))
     return written(counts.withColumn("batch", F.lit(0).cast("long")), out).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "batch")
+
+
+def stream_alerts(stats: DataFrame, keys: list[str], alerts: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> DataFrame:
+    """Alerts over an aggregate of a stream, told anew with every batch from the newest row of each key; those of the last batch.
+
+    A batch that is repeated replaces its own updates and alerts only.
+    """
+    spark = stats.sparkSession
+
+    def one(batch: DataFrame, number: int) -> None:
+        overwrite_parts(batch.withColumn("batch", F.lit(number).cast("long")), f"{out}/updates", ["batch"])
+        newest = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+        updates = written(stats.withColumn("batch", F.lit(0).cast("long")), f"{out}/updates").where(F.col("batch") <= number)
+        latest = updates.withColumn("__r", F.row_number().over(newest)).where("__r = 1").drop("__r", "batch")
+        alerts(latest).write.mode("overwrite").parquet(f"{out}/alerts/batch={number}")
+
+    finish(stats.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start())
+    told = written(spark.createDataFrame([], "type string, month string, message string, severity string, batch long"), f"{out}/alerts")
+    last = told.agg(F.max("batch").alias("batch"))  # one row
+    return told.join(F.broadcast(last), "batch", "left_semi").drop("batch")
