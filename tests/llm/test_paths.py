@@ -5,10 +5,11 @@ import random
 import sys
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackweave.llm import decontaminate, substrings
+from trackweave.llm import ann, decontaminate, substrings
 from trackweave.llm.common import dealt_blocks, pairs_of, read_block
 
 
@@ -85,3 +86,17 @@ def test_counts_of_characters_follow_the_new_text(spark, sf_dir, stages):
     docs = spark.createDataFrame([(1, "Mail a.b@example.com now.", 25), (2, "Mail a.b@example.com now.", None), (3, None, 0)], "doc_id long, text string, n_chars int")
     out = {r.doc_id: r.n_chars for r in stages["personal data"](spark, docs, sf_dir).select("doc_id", F.col("n_chars")).collect()}
     assert out == {1: 17, 2: None, 3: 0}
+
+
+def test_recall_of_a_large_shard():
+    """A shard of 4000 vectors in groups, at the beam that queries have, against all inner products."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (40, 64))[rng.integers(0, 40, 4000)] + rng.normal(0, 1, (4000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph, entry = ann.build_graph(ann.lengthened(x, 1.0))
+    q = np.arange(0, 4000, 40)
+    ids, _ = ann.beam_search(x, np.zeros(len(x), np.float32), graph, entry, x[q], ann.BEAM)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -9
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(set(b) & set(i)) / 20 for b, i in zip(best.tolist(), ids.tolist())]) > 0.95

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import dealt_blocks, fresh_path, materialize, pairs_of, read_block
 
-DEGREE, ALPHA, BEAM_BUILD, BEAM = 32, 1.2, 48, 64
+DEGREE, ALPHA, BEAM_BUILD, BEAM = 32, 1.2, 48, 160
 SHARD_ROWS, QUERY_ROWS, TASKS = 16_384, 4_096, 50_000
 
 
