@@ -156,3 +156,10 @@ def resample_track(rows: DataFrame, keys: list[str], values: list[str], step: in
     if drop:
         grid = grid.dropna(subset=["latitude", "longitude"])
     return grid.select(*keys, "t", *values).unionByName(same).withColumns(labels)
+
+
+def resample_sections(rows: DataFrame, keys: list[str], values: list[str], step: int, labels: list[str], order: list[str]) -> DataFrame:
+    """`resample_track` for each section, with the first known value of each of ``labels`` in its order; a section without one has none."""
+    first = rows.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in labels])
+    one = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "t").orderBy(*[c for c in order if c != "t"]))).where("__r = 1")
+    return resample_track(one.select(*keys, "t", *values), keys, values, step, {}).join(first, keys)

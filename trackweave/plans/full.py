@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import monitor as M
 from ..operators import numbering as N
+from ..operators import sections as P
 from ..operators import segments as S
 from ..operators import smoother as Z
 from ..operators import times as X
@@ -15,9 +16,10 @@ from ..operators import tracks as K
 from ..sources.reports import points, reports
 from ..sources.tables import shared_folder, stage
 from ..streaming import tables as Y
-from .queries import _ERR, CONTEXT, HOUR, KEY, ORACLE, _anc, _brg, _gc, _hav, _pts, _seg, _sess, query, r
+from .queries import _CTE, _ERR, CONTEXT, HOUR, KEY, ORACLE, _anc, _brg, _gc, _hav, _pts, _seg, _sess, query, r
 from .reconstruct import _HALF, _ST, W0, W1, _gap_rows
-from .sections import baseline_channels
+from .sections import _OFF, _resampled, _sections, baseline_channels
+from .sections import _ST as _SECTIONS_SQL
 from .smoothing import _SPLITS, DEFAULT, _smoothed_sql
 
 # times
@@ -210,3 +212,20 @@ def stream_alerts(spark, d):
         none = spark.createDataFrame([], "month string, n_flights long, improvement double")
         got = Y.stream_alerts(stats, ["month"], lambda latest: M.alerts(latest, none), f"{out}/told", f"{out}/state")  # noqa: B023
     return got
+
+
+# resampling by section
+
+_SEVEN = ["latitude", "longitude", "altitude_m", "geoaltitude_m", "baroaltitude_m", "velocity_mps", "heading_deg"]
+_KEYED = "FROM (SELECT * REPLACE (segment_id || '/' || source_section AS segment_id), altitude_m + 15 AS geoaltitude_m, CASE WHEN event_id % 5 <> 0 THEN altitude_m - 20 END AS baroaltitude_m FROM st)"
+_SIGN = "CASE WHEN event_id % 4 <> 0 THEN 'CS' || event_id END"
+
+
+@query(f"""SELECT split_part(x.segment_id, '/', 1) AS segment_id, split_part(x.segment_id, '/', 2) AS source_section, x.t, {', '.join('x.' + v for v in _SEVEN)}, callsign FROM ({_CTE}{_resampled(_SEVEN, True).replace('FROM st)', _KEYED + ')')}) x
+ JOIN ({_CTE}, {_SECTIONS_SQL} SELECT segment_id || '/' || source_section AS k, arg_min({_SIGN}, (t - CASE WHEN event_id % 3 = 0 THEN t % {HOUR} ELSE 0 END, event_id)) FILTER (WHERE event_id % 4 <> 0) AS callsign FROM st GROUP BY 1) l ON l.k = x.segment_id""", cte=False)
+def resample_by_section(spark, d):
+    """Each section of a flight on its own grid: seven columns, the first known callsign; short sections stay as they are."""
+    e = F.col("event_id")
+    rows = _sections(spark, d).withColumns({"t": F.col("t") - F.when(e % 3 == 0, F.col("t") % HOUR).otherwise(0), "geoaltitude_m": F.col("altitude_m") + 15, "baroaltitude_m": F.when(e % 5 != 0, F.col("altitude_m") - 20), "callsign": F.when(e % 4 != 0, F.concat(F.lit("CS"), e))})
+    x = P.resample_sections(rows, ["segment_id", "source_section"], _SEVEN, HOUR, ["callsign"], ["t", "event_id"])
+    return x.select("segment_id", "source_section", "t", *[F.round(F.col(v) + _OFF, 6).alias(v) for v in _SEVEN], "callsign")
