@@ -111,3 +111,12 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         spark.createDataFrame([(v, f"d{v}"), (v + 10, "d0")], "id long, day string").coalesce(1).write.mode("append").parquet(src)
         got = Y.stream_by_day(spark.readStream.schema("id long, day string").parquet(src), F.col("day"), out, state)
     assert sorted(r.id for r in got.collect()) == [1, 2, 11, 12]
+
+
+def test_no_window_of_resampling_is_gone_through_again_at_every_row(spark):
+    """A frame that reaches to the end of a track costs the square of its rows."""
+    rows = spark.createDataFrame([("s", 0, 1.0, None), ("s", 2 * MIN, 3.0, 5.0)], "k string, t long, a double, b double")
+    got = K.resample(rows, ["k"], ["a", "b"], MIN, True)
+    assert sorted(map(tuple, got.collect())) == [("s", 0, 1.0, None), ("s", MIN, 2.0, None), ("s", 2 * MIN, 3.0, 5.0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
