@@ -126,6 +126,13 @@ def test_infer_on_an_empty_table(spark):
     assert N.infer(N.samples(dense, targets, ends, MIN), N.seeded_weights(hidden=4)).count() == 0
 
 
+def test_samples_go_through_the_network_in_bounded_parts():
+    import pandas as pd
+
+    got = list(N.in_parts(iter([pd.DataFrame({"a": range(n)}) for n in (0, 3, 2 * N.TOGETHER + 1)])))
+    assert [len(f) for f in got] == [3, N.TOGETHER, N.TOGETHER, 1] and got[2]["a"].iloc[0] == N.TOGETHER
+
+
 def test_padding_masks_and_missing_features(spark):
     dense = spark.createDataFrame([("a", 1, 1, 53.0, None, 240.0, float("nan"), 10500.0), ("a", 9, 2, 61.0, -30.0, 270.0, 90.0, 11500.0)], "icao24 string, t long, event_id long, latitude double, longitude double, velocity_mps double, heading_deg double, altitude_m double")
     ends = spark.createDataFrame([("s", "a", 1, 9)], "segment_id string, icao24 string, t0 long, t1 long")
