@@ -126,6 +126,42 @@ def test_infer_on_an_empty_table(spark):
     assert N.infer(N.samples(dense, targets, ends, MIN), N.seeded_weights(hidden=4)).count() == 0
 
 
+def test_tracks_side_by_side_equal_the_filter_of_each(spark, monkeypatch):
+    """Against matrices, a track at a time; tracks of one row, equal times, a null key, a row without a place, several batches."""
+    import random
+
+    from trackweave.operators import tracks as K
+
+    rng, rows = random.Random(5), []
+    for g in range(60):
+        for i in range(rng.choice((1, 2, 7, 30))):
+            rows.append((None if g == 0 else f"k{g // 2}", g % 2, 100 * g + i, rng.randrange(40) * 600_000_000, 50 + rng.random(), rng.random()))
+    df = spark.createDataFrame([*rows, ("k9", 0, 9999, 5, None, 1.0)], "icao24 string, seq long, event_id long, t long, latitude double, longitude double").repartition(3)
+    k, want = 6371000.0 * np.pi / 180, {}
+    for key in {r[:2] for r in rows}:
+        g = sorted((r for r in rows if r[:2] == key), key=lambda r: (r[3], r[2]))
+        la0, lo0, h = g[0][4], g[0][5], np.eye(2, 4)
+        z = [np.array([(r[5] - lo0) * k * np.cos(np.radians(la0)), (r[4] - la0) * k]) for r in g]
+        x, p, seen = np.array([*z[0], 0.0, 0.0]), np.diag([4 * 2000.0**2] * 2 + [250.0**2] * 2), []
+        for i, r in enumerate(g):
+            dt = (r[3] - g[i - 1][3]) / 1e6 if i else 0.0
+            f = np.eye(4) + dt * np.eye(4, k=2)
+            x, p = f @ x, f @ p @ f.T + np.kron(np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]]) * 0.01, np.eye(2))
+            ahead = x, p
+            gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + 2000.0**2 * np.eye(2))
+            x, p = x + gain @ (z[i] - h @ x), (np.eye(4) - gain @ h) @ p
+            seen.append([x, p, f, *ahead])
+        for i in range(len(g) - 2, -1, -1):
+            seen[i][0] = seen[i][0] + seen[i][1] @ seen[i + 1][2].T @ np.linalg.pinv(seen[i + 1][4]) @ (seen[i + 1][0] - seen[i + 1][3])
+        want |= {r[2]: (la0 + s[0][1] / k, lo0 + s[0][0] / (k * np.cos(np.radians(la0)))) for r, s in zip(g, seen)}
+    for cells in (K.CELLS, 16):
+        monkeypatch.setattr(K, "CELLS", cells)
+        got = {r.event_id: (r.smooth_lat, r.smooth_lon) for r in K.kalman_smooth(df, ["icao24", "seq"]).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[e], want[e], atol=1e-7, rtol=0) for e in want)
+    many = np.arange(400.0) * 60 + np.zeros((500, 1)), np.zeros((500, 400, 2))
+    assert np.abs(K.smooth_tracks(*many, 2000.0, 0.01)).max() == 0
+
+
 def test_samples_go_through_the_network_in_bounded_parts():
     import pandas as pd
 
