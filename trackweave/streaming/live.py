@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
 
@@ -44,22 +45,24 @@ class LiveReader(DataSourceStreamReader):
         return [Polls(k, max(a, k * BLOCK), min(b, (k + 1) * BLOCK)) for k in range(a // BLOCK, -(-b // BLOCK)) if a < b]
 
     def fetched(self, block: int) -> Iterator[tuple[int, list]]:
+        """The polls of a folder, a line at a time: no more than one poll is held."""
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(f"{self.path}/block={block}")
         for f in store.get_file_info(fs.FileSelector(folder)):
             if f.path.endswith(".txt"):
-                with store.open_input_stream(f.path) as lines:
-                    for line in lines.read().decode().splitlines():
+                with io.TextIOWrapper(store.open_input_file(f.path), encoding="utf-8", newline="\n") as lines:
+                    for line in lines:
                         snapshot = json.loads(line)
                         yield snapshot["time"] // POLL, snapshot.get("states") or []
 
     def read(self, partition: Polls) -> Iterator[tuple]:
-        try:
-            polls = list(self.fetched(partition.block))
-        except OSError:  # the service does not answer: its polls are empty, and the stream goes on
-            return
-        for poll, states in polls:
+        polls = self.fetched(partition.block)
+        while True:
+            try:
+                poll, states = next(polls)
+            except (StopIteration, OSError):  # the service does not answer: its polls are empty, and the stream goes on
+                return
             if partition.first <= poll < partition.last and not (self.failing and poll % self.failing == 0):
                 for s in states:
                     row = vector(poll, s)
