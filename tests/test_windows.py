@@ -11,6 +11,7 @@ from trackweave.operators import numbering
 from trackweave.operators import recurrent as N
 from trackweave.operators import segments as S
 from trackweave.operators import smoother as Z
+from trackweave.plans import smoothing
 from trackweave.sources import runs as R
 from trackweave.sources.windows import Windows
 
@@ -144,6 +145,28 @@ def test_tuning_needs_a_validation_split(spark):
         Z.tuned(none, ends, truth, spark.createDataFrame([], "segment_id string, split string"), [(1.0, 1.0, 1.0)])
 
 
+def test_a_gap_of_a_joined_table_stays_whole(spark):
+    # a join that turns into a broadcast at run time reads its other side as the mappers wrote it
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in confs.items():
+        spark.conf.set(name, value)
+    try:
+        at = spark.range(0, 4000, 1, 8)
+        rows = at.select(F.concat(F.lit("s"), F.col("id") % 100).alias("segment_id"), (F.col("id") * 1_000_000).alias("t"), *[F.when(F.col("id") >= 3000, F.col("id") * 1.0).alias(c) for c in ("along_m", "cross_m")], F.when(F.col("id") < 3000, F.col("id")).alias("event_id"))
+        some = spark.range(100).where("id % 10 < 8").select(F.concat(F.lit("s"), F.col("id")).alias("segment_id"))
+        got = Z.smooth_gaps(rows.join(some, "segment_id", "left_semi"), [(100.0, 0.01, 0.003)]).collect()
+        assert len(got) == len({r.event_id for r in got}) == 2400
+    finally:
+        for name in confs:
+            spark.conf.unset(name)
+
+
+def test_tables_without_validation_gaps_tune_nothing(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    for query in (smoothing.kalman_tune, smoothing.kalman_run):
+        assert query(spark, str(tmp_path)).count() == 0
+
+
 def test_improvement_over_nothing(spark):
     rows = spark.createDataFrame([("test", "a", 1.0, 0.0), ("test", "b", 1.0, 2.0)], "split string, segment_id string, kalman_km double, baseline_km double")
     got = {r.segment_id: r.improvement_mean_pct for r in Z.compare_with_base(rows, ["split", "segment_id"]).collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -176,16 +177,24 @@ def smooth_gaps(rows: DataFrame, params: list[tuple[float, float, float]]) -> Da
     grid = np.array(params, dtype=float)
     k = len(grid)
     order = ["segment_id", "t", F.col("along_m").isNull(), "event_id"]
-    ordered = rows.select("segment_id", "t", "along_m", "cross_m", "event_id").repartition("segment_id").sortWithinPartitions(*order)
+    # dealt by a hash of the key: an exchange by the key itself goes where a join has dealt by it, and the parts of a join
+    # may be read in pieces at run time, so that a gap would come to several tasks
+    ordered = rows.select("segment_id", "t", "along_m", "cross_m", "event_id").repartition(F.xxhash64("segment_id")).sortWithinPartitions(*order)
 
-    def answers(table: pa.Table) -> pa.RecordBatch:
+    def answers(table: pa.Table) -> Iterator[pa.RecordBatch]:
         coded = table["segment_id"].combine_chunks().dictionary_encode()
         z = np.stack([table[c].to_numpy() for c in ("along_m", "cross_m")], axis=1)
-        got = _smoothed_gaps(coded.indices.to_numpy(), table["t"].to_numpy(), z, grid)
-        asked = np.flatnonzero(table["event_id"].is_valid().to_numpy() & ~np.isnan(got[:, 0, 0]))
-        events = table["event_id"].take(pa.array(asked)).to_numpy().astype(np.int64)
-        made = [coded.take(pa.array(np.repeat(asked, k))).cast(pa.string()), pa.array(np.repeat(events, k)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(asked))), *(pa.array(got[asked, :, axis].ravel()) for axis in (0, 1))]
-        return pa.RecordBatch.from_arrays(made, names=["segment_id", "event_id", "param_id", "along_m", "cross_m"])
+        gap, t, wanted = coded.indices.to_numpy(), table["t"].to_numpy(), table["event_id"].is_valid().to_numpy()
+        sets = max(1, 4 * CELLS // len(table))  # of a long gap few parameter sets at a time
+        for j in range(0, k, sets):
+            own = np.arange(j, min(j + sets, k), dtype=np.int32)
+            got = _smoothed_gaps(gap, t, z, grid[own])
+            every = np.flatnonzero(wanted & ~np.isnan(got[:, 0, 0]))
+            each = max(1, CELLS // len(own))
+            for asked in (every[i : i + each] for i in range(0, len(every), each)):
+                events = table["event_id"].take(pa.array(asked)).to_numpy().astype(np.int64)
+                made = [coded.take(pa.array(np.repeat(asked, len(own)))).cast(pa.string()), pa.array(np.repeat(events, len(own))), pa.array(np.tile(own, len(asked))), *(pa.array(got[asked, :, axis].ravel()) for axis in (0, 1))]
+                yield pa.RecordBatch.from_arrays(made, names=["segment_id", "event_id", "param_id", "along_m", "cross_m"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -199,10 +208,10 @@ def smooth_gaps(rows: DataFrame, params: list[tuple[float, float, float]]) -> Da
                 names = table["segment_id"].combine_chunks()
                 cut = pc.index(names, pa.scalar(last)).as_py()  # the last gap may go on
                 if cut:
-                    yield answers(table.slice(0, cut))
+                    yield from answers(table.slice(0, cut))
                 held, size = table.slice(cut).to_batches(), size - cut
         if size:
-            yield answers(pa.Table.from_batches(held))
+            yield from answers(pa.Table.from_batches(held))
 
     return ordered.mapInArrow(run, "segment_id string, event_id long, param_id int, along_m double, cross_m double")
 
@@ -273,13 +282,18 @@ def summarize_split(waypoints: DataFrame, split: str = "split", flight: str = "s
     return means.join(tails, split).select("*", *improved)
 
 
+def tuning(rows: DataFrame, ends: DataFrame, truth: DataFrame, splits: DataFrame, params: list[tuple[float, float, float]]) -> DataFrame:
+    """One row for each of ``params``, best first, by the gaps of split ``val``; none, if there is no such gap. ``splits``: segment_id, split."""
+    val = rows.join(splits.where("split = 'val'").select("segment_id"), "segment_id", "left_semi")
+    return tune(positions(smooth_gaps(val, params), ends), truth, params)
+
+
 def tuned(rows: DataFrame, ends: DataFrame, truth: DataFrame, splits: DataFrame, params: list[tuple[float, float, float]]) -> tuple[tuple[float, float, float], DataFrame]:
     """The best of ``params`` on the gaps of split ``val``, and the table of all; without such gaps an error.
 
     ``splits``: segment_id, split. The table has a row a parameter set.
     """
-    val = rows.join(splits.where("split = 'val'").select("segment_id"), "segment_id", "left_semi")
-    table = tune(positions(smooth_gaps(val, params), ends), truth, params)
+    table = tuning(rows, ends, truth, splits, params)
     best = table.first()
     if best is None:
         raise ValueError("no gap of the validation split can be smoothed")

@@ -109,15 +109,16 @@ def kalman_summary(spark, d):
 @query()
 def kalman_tune(spark, d):
     """The compact grid by its errors on the validation split, best parameters first."""
-    return Z.tuned(stage(_gap_rows(spark, d)), _anc(spark, d), _pts(spark, d), _splits(spark, d), Z.parameter_grid("compact"))[1].select("param_id", "measurement_std_m", "accel_along", "accel_cross", r("mean_km", 3), r("median_km", 3), "flights")
+    return Z.tuning(_gap_rows(spark, d), _anc(spark, d), _pts(spark, d), _splits(spark, d), Z.parameter_grid("compact")).select("param_id", "measurement_std_m", "accel_along", "accel_cross", r("mean_km", 3), r("median_km", 3), "flights")
 
 
 @query()
 def kalman_run(spark, d):
-    """Tuned on the validation split, then judged on it and on the test split."""
-    rows = stage(_gap_rows(spark, d))
-    best, _ = Z.tuned(rows, _anc(spark, d), _pts(spark, d), _splits(spark, d), Z.parameter_grid("compact"))
-    s = Z.summarize_split(_waypoints(spark, d, best, rows).where("split IN ('val', 'test')"))
+    """Tuned on the validation split, then judged on it and on the test split; no rows, where nothing can be tuned on."""
+    rows, grid = stage(_gap_rows(spark, d)), Z.parameter_grid("compact")
+    first = Z.tuning(rows, _anc(spark, d), _pts(spark, d), _splits(spark, d), grid).first()
+    best = grid[first["param_id"] if first else 0]
+    s = Z.summarize_split(_waypoints(spark, d, best, rows).where("split IN ('val', 'test')").where(F.lit(first is not None)))
     names = ("measurement_std_m", "accel_along", "accel_cross")
     return s.select("split", "n_flights", *[r(c, 4) for c in (*_MEANS, "kalman_p90_error_km", "baseline_p90_error_km", *_BETTER)], *[F.lit(v).alias(n) for n, v in zip(names, best)])
 
