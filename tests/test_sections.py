@@ -1,11 +1,17 @@
 """Sections, runs, stores and streams on small hand-made rows."""
 
+import datetime as dt
+
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from trackweave.operators import catalog as C
 from trackweave.operators import sections as X
 from trackweave.operators import segments as S
 from trackweave.operators import tracks as K
+from trackweave.plans import sections as P
+from trackweave.plans.queries import ORACLE
 from trackweave.sources import tables as T
 from trackweave.streaming import tables as Y
 
@@ -36,6 +42,23 @@ def test_spikes_go_from_sparse_sections_only(spark):
     assert sorted(r.ord for r in kept.where("source_section = 'adsc'").collect()) == [0, 1, 3, 4]
 
 
+@pytest.mark.parametrize("query", ["clean_audit", "clean_sections", "keep_drop_reasons", "section_issues"])
+def test_sections_with_spikes_equal_their_sql(spark, tmp_path, query):
+    # back and forth: the second and third sparse report are spikes between their own neighbours, the third not without the second
+    reports = [(1, 0, "click", 0.0), (2, 60, "view", 0.0), (3, 70, "view", 500.0), (4, 80, "view", 0.0), (5, 90, "view", 500.0), (11, 300, "click", 0.0)]
+    alone = [(12, 0, "click", 0.0), (13, 60, "view", 0.0), (15, 70, "view", 500.0), (16, 80, "view", 0.0), (17, 300, "click", 0.0)]
+    start = dt.datetime(2024, 1, 3, 6)
+    rows = [(i, start + dt.timedelta(minutes=m), user, kind, value, "{}") for user, some in ((7, reports), (8, alone)) for i, m, kind, value in some]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = getattr(P, query)(spark, str(tmp_path))
+    want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE[query]})").fetchall()
+    assert want and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+    if query == "clean_audit":
+        assert sum(r.isolated_spike_removed_count for r in got.collect()) == 3
+
+
 def test_spike_loop_equals_restarting_scan(spark):
     import random
 
